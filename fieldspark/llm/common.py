@@ -39,6 +39,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the rows that Arrow hands to Python at once, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def words_array(text: Column) -> Column:
     """Words of a text: an array without empty strings; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

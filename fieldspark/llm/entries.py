@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, sharding
+from . import chat, decontam, jaccard, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": decontam.op1_decontaminate,
         "op2_preference_format": chat.op2_preference_format,
         "op3_source_mix": mixing.op3_source_mix,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op9_jaccard_components": jaccard.op9_jaccard_components,
         "op10_uniform_shards": sharding.op10_uniform_shards,
     }
 
