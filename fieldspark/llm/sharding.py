@@ -36,10 +36,10 @@ def _hypergeometric(pool: str, good: str, n: str, u: str) -> str:
     lo = f"greatest({lo0}, CAST(floor({mean} - {reach}) AS BIGINT))"
     hi = f"least({hi0}, CAST(ceil({mean} + {reach}) AS BIGINT))"
     ratio = f"((CAST({good} - k AS DOUBLE) * ({n} - k)) / ((k + 1D) * ({pool} - {good} - {n} + k + 1D)))"
-    mass = f"aggregate(sequence(lo, hi), named_struct('p', 1D, 's', 0D), (a, k) -> named_struct('p', a.p * {ratio}, 's', a.s + a.p), a -> a.s)"
+    mass = f"aggregate(sequence(lo, hi), named_struct('p', 1D, 's', 0D), (b, k) -> named_struct('p', b.p * {ratio}, 's', b.s + b.p), b -> b.s)"
     pick = (
-        f"aggregate(sequence(lo, hi), named_struct('p', 1D, 's', 0D, 'k', lo), (a, k) -> named_struct('p', a.p * {ratio}, 's', a.s + a.p, "
-        f"'k', CASE WHEN a.s < mass * {u} THEN k ELSE a.k END), a -> a.k)"
+        f"aggregate(sequence(lo, hi), named_struct('p', 1D, 's', 0D, 'k', lo), (b, k) -> named_struct('p', b.p * {ratio}, 's', b.s + b.p, "
+        f"'k', CASE WHEN b.s < mass * {u} THEN k ELSE b.k END), b -> b.k)"
     )
     drawn = let(lo, "lo", let(hi, "hi", let(mass, "mass", pick)))
     return f"CASE WHEN {lo0} = {hi0} THEN {lo0} ELSE {drawn} END"
