@@ -28,6 +28,7 @@ POINT_BITS = 31
 #: round(2^31 / golden ratio), made odd.
 GOLDEN = 1327217885
 BINS = 1024
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,10 @@ def mix(sized: DataFrame, block_words: int = 1024, bucket_rows: int = 2048, **ta
     # At least one block for each source that is taken from, and at least one word for each block.
     plan = sources.join(per, "src", "left").withColumn("n", F.greatest(F.lit(1), F.least(F.coalesce("n", F.lit(0)), "take")))
     plan = plan.withColumns({"q": F.expr("take div n"), "r": F.expr("take % n"), "buckets": F.expr(f"1 + n_docs div {bucket_rows}")})
-    rows = sized.join(plan.drop("source"), "src").withColumn(
+    # The largest source may hold a third of all rows: the join with the table of sources is salted.
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = sized.withColumn("salt", F.pmod(F.conv(F.substring("key", 9, 4), 16, 10).cast("int"), F.lit(SALTS)))
+    rows = salted.join(plan.drop("source"), ["src", "salt"]).drop("salt").withColumn(
         "bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) * F.col("buckets"))
     )
     order = [F.col("key"), F.col("size")]
