@@ -4,9 +4,9 @@ Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of 5-wo
 
 1. One pass over the texts gives each document's set size and signature, and counts every shingle of the corpus:
    tasks send sorted, delta-coded bucket numbers of shingle hashes, split by range, and each range is counted alone.
-2. Shingles are ordered by (frequency level, hash). Any order gives the same links; this one keeps what is frequent
-   out of prefixes. Level 0 stands for all shingles below the level from which at most ``heavy_limit`` are known, so
-   what is sent to all tasks is bounded.
+2. Shingles are ordered by (frequency level, hash): first those of one document, by a bitmap, then those of several,
+   then the most frequent by level. Any order gives the same links; this one keeps what documents share by chance or
+   by common passages out of prefixes. Bitmap and frequent shingles have a fixed bound and are sent to all tasks.
 3. A document's prefix is its first n - ceil(0.75 n) + 1 shingles. Documents with the same size and the same prefix
    are one group (exact copies always are); sets inside a group differ by signature and are its members.
 4. Groups that share a prefix shingle and pass the size and position filters are candidates. They are first tried
@@ -151,22 +151,23 @@ class _Order:
         for part, piece in counted.filter("shared IS NOT NULL").select("part", "shared").collect():
             self.map[part * width : (part + 1) * width] = np.frombuffer(piece, np.uint8)
 
-    def prefix(self, hashes: np.ndarray) -> np.ndarray:
+    def prefix(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix in order, and the positions in it of shingles that may occur in another document.
+
+        Shingles of one document come first, so the prefix of a text without near copies mostly has no other.
+        """
         p = prefix_length(len(hashes))
-        if not len(self.buckets) or not p:
-            return hashes[:p]
-        b = hashes >> self.shift
-        at = np.minimum(np.searchsorted(self.buckets, b), len(self.buckets) - 1)
-        level = np.where(self.buckets[at] == b, self.levels[at], 0)
-        return hashes[np.argsort(level, kind="stable")[:p]] if level.any() else hashes[:p]
-
-    def shared(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions of shingles that may occur in another document."""
         k = hashes >> self.map_shift
-        return np.flatnonzero(self.map[(k >> _U(3)).astype(np.int64)] >> (_U(7) - (k & _U(7))).astype(np.uint8) & 1)
+        level = (self.map[(k >> _U(3)).astype(np.int64)] >> (_U(7) - (k & _U(7))).astype(np.uint8) & 1).astype(np.int32)
+        if len(self.buckets) and level.any():
+            b = hashes >> self.shift
+            at = np.minimum(np.searchsorted(self.buckets, b), len(self.buckets) - 1)
+            level += np.where(self.buckets[at] == b, self.levels[at], 0)
+        first = np.argsort(level, kind="stable")[:p]
+        return hashes[first], np.flatnonzero(level[first])
 
 
-_PREFIX = "n long, s1 long, s2 long, p1 long, p2 long, hs array<long>, ats array<int>"
+_PREFIX = "th long, n long, s1 long, s2 long, p1 long, p2 long, hs array<long>, ats array<int>"
 
 
 def _prefixes(order):
@@ -174,16 +175,15 @@ def _prefixes(order):
         o = order.value
         for b in batches:
             rows = []
-            for t in b.column(0):
+            for t, th in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 x = shingle_set(t.as_py())
                 if len(x):
-                    p = o.prefix(x)
-                    at = o.shared(p)
-                    rows.append((len(x), *signature(x), *signature(p), p[at].astype(np.int64), at.astype(np.int32)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
+                    p, at = o.prefix(x)
+                    rows.append((th, len(x), *signature(x), *signature(p), p[at].astype(np.int64), at.astype(np.int32)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.list_(pa.int32()))],
-                names=["n", "s1", "s2", "p1", "p2", "hs", "ats"],
+                [*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.list_(pa.int32()))],
+                names=["th", "n", "s1", "s2", "p1", "p2", "hs", "ats"],
             )
 
     return run
@@ -193,19 +193,17 @@ _SETS = "s1 long, s2 long, hashes binary"
 
 
 def _wanted_sets(bloom, bits: int):
-    """Sets of documents whose signature the filter may hold; false positives go in the join that follows."""
+    """Sets of texts whose hash the filter may hold; false positives go in the join that follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = bloom.value
         for b in batches:
             s1, s2, sets = [], [], []
-            for t in b.column(0):
-                x = shingle_set(t.as_py())
-                if not len(x):
-                    continue
-                a, c = signature(x)
-                k = a & ((1 << bits) - 1)
+            for t, th in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                k = th & ((1 << bits) - 1)
                 if f[k >> 3] >> (k & 7) & 1:
+                    x = shingle_set(t.as_py())
+                    a, c = signature(x)
                     s1.append(a)
                     s2.append(c)
                     sets.append(x.tobytes())
@@ -216,10 +214,10 @@ def _wanted_sets(bloom, bits: int):
     return run
 
 
-def _bloom(spark: SparkSession, signatures: DataFrame, bits: int):
-    """A bitmap of 2^bits bits over s1, built by Spark's bitmap aggregates: bounded, whatever the number of rows."""
-    slot = F.col("s1").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # numbered from 1
-    pieces = signatures.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
+def _bloom(spark: SparkSession, hashes: DataFrame, bits: int):
+    """A bitmap of 2^bits bits over ``th``, built by Spark's bitmap aggregates: bounded, whatever the number of rows."""
+    slot = F.col("th").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # numbered from 1
+    pieces = hashes.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
     out = bytearray((1 << bits) // 8)
     for b, m in pieces.collect():
         start = (b - 1) * 4096
@@ -277,11 +275,12 @@ def similar_documents(
     order = spark.sparkContext.broadcast(_Order(blobs, count_bits, range_bits, map_bits, heavy_limit))
 
     # Groups: same size, same prefix. Members: the different sets in a group.
-    prefixes = docs.select("text").mapInArrow(_prefixes(order), _PREFIX)
+    texts = docs.select("text", F.xxhash64("text").alias("th"))
+    prefixes = texts.mapInArrow(_prefixes(order), _PREFIX)
     prefixes = prefixes.withColumns({"g": F.xxhash64("n", "p1", "p2"), "m": F.xxhash64("n", "s1", "s2")})
-    sets_of = prefixes.groupBy("g", "m").agg(*[F.first(c).alias(c) for c in ("n", "s1", "s2", "hs", "ats")])
+    sets_of = prefixes.groupBy("g", "m").agg(*[F.first(c).alias(c) for c in ("n", "s1", "s2", "th", "hs", "ats")])
     groups = stash(sets_of, "prefix-groups")
-    members = groups.select("g", "m", "n", "s1", "s2")
+    members = groups.select("g", "m", "n", "th")
     one = groups.groupBy("g").agg(*[F.min_by(c, "m").alias(c) for c in ("n", "hs", "ats")], F.min("m").alias("lead"), F.count(F.lit(1)).alias("k"))
     one = stash(one, "groups")
     lead = one.select("g", "n", "lead", "k")
@@ -294,8 +293,8 @@ def similar_documents(
     alive = shared.select("g").distinct().unionByName(lead.filter("k > 1").select("g")).distinct()
     live = stash(members.join(alive, "g", "left_semi"), "live-members")
     bits = _fit_bits(16 * live.count(), 18, 27)
-    bloom = _bloom(spark, live.select("s1"), bits)
-    got = docs.select("text").mapInArrow(_wanted_sets(bloom, bits), _SETS).withColumn("m", F.xxhash64(F.expr("cast(length(hashes) div 8 as bigint)"), "s1", "s2"))
+    bloom = _bloom(spark, live.select("th"), bits)
+    got = texts.mapInArrow(_wanted_sets(bloom, bits), _SETS).withColumn("m", F.xxhash64(F.expr("cast(length(hashes) div 8 as bigint)"), "s1", "s2"))
     sets = stash(got.groupBy("m").agg(F.first("hashes").alias("hashes")).join(live.select("m"), "m", "left_semi"), "live-sets")
     verify = _Verifier(live, sets)
 
