@@ -17,7 +17,6 @@ edits, then first). Repeated rows each give their rows; a null id stays null. Ex
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +30,11 @@ from .common import batches, table
 _U = np.uint64
 _BASE = _U(0x100000001B3)
 _SPREAD = _U(0x9E3779B97F4A7C15)
-_SPACE = re.compile(r"\s+")
-Q, ERROR_RATE = 8, 0.10
+Q, ERROR_RATE = 8, 0.08
 
 
 def normalise(text: str | None) -> str:
-    return _SPACE.sub(" ", text.lower()).strip() if text else ""
+    return " ".join(text.lower().split()) if text else ""
 
 
 def offsets(text: str) -> np.ndarray:
@@ -131,25 +129,29 @@ class Items:
         at, i = at[hit], i[hit]
         found: set[tuple[int, int]] = set()
         n = self.starts[i + 1] - self.starts[i]
-        # Postings are expanded a bounded number at a time; bands are counted over a whole text all the same.
-        keys, counts = [], []
+        # Postings are expanded some millions at a time; bands are counted over all of them.
+        hits = []
         cuts = np.searchsorted(np.cumsum(n), np.arange(2_000_000, int(n.sum()) + 2_000_000, 2_000_000))
         for part in np.split(np.arange(len(at)), np.minimum(cuts, len(at))):
             if not len(part):
                 continue
             m = n[part]
             where = np.repeat(self.starts[i[part]], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            item, diag = self.item[where], np.repeat(at[part], m) - self.pos[where]
-            band = (diag + (1 << 20)) // self.width
-            a, b = np.unique(np.concatenate([item << 40 | band, item << 40 | (band - 1)]), return_counts=True)
-            keys.append(a)
-            counts.append(b)
-        if not keys:
+            item, pos = self.item[where], self.pos[where]
+            band = (np.repeat(at[part], m) - pos + (1 << 20)) // self.width
+            key = item << 40 | band
+            hits.append((np.concatenate([key, key - 1]), np.concatenate([pos, pos])))
+        key, pos = (np.concatenate(x) for x in zip(*hits, strict=True))
+        every, inv, total = np.unique(key, return_inverse=True, return_counts=True)
+        some = (total >= self.least[every >> 40])[inv]
+        # The lemma counts q-grams of the item, so a q-gram that the text repeats counts once.
+        pairs = np.unique(key[some], return_inverse=True)
+        if not len(pairs[0]):
             return found
-        every, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
-        for key in every[total >= self.least[every >> 40]].tolist():
-            found.add((key >> 40, (key & ((1 << 40) - 1)) * self.width - (1 << 20)))
+        distinct = np.unique(pairs[1] * (1 << 32) + pos[some]) >> 32
+        total = np.bincount(distinct, minlength=len(pairs[0]))
+        for k in pairs[0][total >= self.least[pairs[0] >> 40]].tolist():
+            found.add((k >> 40, (k & ((1 << 40) - 1)) * self.width - (1 << 20)))
         return found
 
     def align(self, item: int, c: np.ndarray, diag: int) -> tuple[int, int, int] | None:
@@ -158,19 +160,28 @@ class Items:
         m, lo, wide = len(t), diag - k, 2 * self.width + 2 * k + 1
         big = 1 << 20
         cols = np.arange(wide)
-        inside = lambda r: (r + lo + cols >= 0) & (r + lo + cols <= len(c))
-        padded = np.full(m + wide + 2, 0xFFFFFFFF, np.uint32)
         a, b = max(0, lo), min(len(c), lo + m + wide + 1)
         if a >= b:
             return None
+        whole = lo >= 0 and lo + m + wide <= len(c)
+        padded = np.full(m + wide + 2, 0xFFFFFFFF, np.uint32)
         padded[a - lo : b - lo] = c[a:b]
-        d = np.where(inside(0), 0, big)
+        outside = lambda r: (r + lo + cols < 0) | (r + lo + cols > len(c))
+        d = np.zeros(wide, np.int64)
+        if not whole:
+            d[outside(0)] = big
         rows = [d]
+        up = np.full(wide, big, np.int64)
         for r in range(1, m + 1):
-            diagonal = d + (padded[r - 1 : r - 1 + wide] != t[r - 1])
-            up = np.append(d[1:], big) + 1
-            d = np.where(inside(r), np.minimum(diagonal, up), big)
-            d = np.minimum.accumulate(d - cols) + cols
+            up[:-1] = d[1:]
+            d = np.minimum(d + (padded[r - 1 : r - 1 + wide] != t[r - 1]), up + 1)
+            if not whole:
+                d[outside(r)] = big
+            d -= cols
+            np.minimum.accumulate(d, out=d)
+            d += cols
+            if d.min() > k:  # no cell of the band can come back under the budget
+                return None
             rows.append(d)
         best = int(d.min())
         if best > k:
