@@ -10,8 +10,8 @@ Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of 5-wo
 3. A document's prefix is its first n - ceil(0.75 n) + 1 shingles. Documents with the same size and the same prefix
    are one group (exact copies always are); sets inside a group differ by signature and are its members.
 4. Groups that share a prefix shingle and pass the size and position filters are candidates. They are first tried
-   against the smallest group of each shingle only; groups joined so far are then compared across joined parts only, so
-   a cluster of thousands is not expanded into all its pairs.
+   against a few central groups of each shingle, in rounds; what has been joined is then compared across joined parts
+   only, so a cluster of thousands is not expanded into all its pairs.
 5. Members are verified on whole sets; components of the links give each document its component.
 
 Defined results: null, empty or blank text: no shingles, component is the own doc_id. Fewer than five words: the whole
@@ -21,6 +21,7 @@ the smallest id. Extra columns are not read. Shingles are compared by 64-bit has
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -151,8 +152,8 @@ class _Order:
         for part, piece in counted.filter("shared IS NOT NULL").select("part", "shared").collect():
             self.map[part * width : (part + 1) * width] = np.frombuffer(piece, np.uint8)
 
-    def prefix(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The prefix in order, and the positions in it of shingles that may occur in another document.
+    def prefix(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The prefix in order, the positions in it of shingles that may occur in another document, and how common the set is.
 
         Shingles of one document come first, so the prefix of a text without near copies mostly has no other.
         """
@@ -164,10 +165,10 @@ class _Order:
             at = np.minimum(np.searchsorted(self.buckets, b), len(self.buckets) - 1)
             level += np.where(self.buckets[at] == b, self.levels[at], 0)
         first = np.argsort(level, kind="stable")[:p]
-        return hashes[first], np.flatnonzero(level[first])
+        return hashes[first], np.flatnonzero(level[first]), float(level.mean()) if len(level) else 0.0
 
 
-_PREFIX = "th long, n long, s1 long, s2 long, p1 long, p2 long, hs array<long>, ats array<int>"
+_PREFIX = "th long, n long, s1 long, s2 long, p1 long, p2 long, deg double, hs array<long>, ats array<int>"
 
 
 def _prefixes(order):
@@ -178,12 +179,12 @@ def _prefixes(order):
             for t, th in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 x = shingle_set(t.as_py())
                 if len(x):
-                    p, at = o.prefix(x)
-                    rows.append((th, len(x), *signature(x), *signature(p), p[at].astype(np.int64), at.astype(np.int32)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
+                    p, at, deg = o.prefix(x)
+                    rows.append((th, len(x), *signature(x), *signature(p), deg, p[at].astype(np.int64), at.astype(np.int32)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.list_(pa.int32()))],
-                names=["th", "n", "s1", "s2", "p1", "p2", "hs", "ats"],
+                [*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.list_(pa.int64())), pa.array(cols[8], pa.list_(pa.int32()))],
+                names=["th", "n", "s1", "s2", "p1", "p2", "deg", "hs", "ats"],
             )
 
     return run
@@ -244,6 +245,25 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from _links(pa.Table.from_batches([b])).to_batches()
 
 
+def _star_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): sets tried against up to two of the most common sets, of different parts, for each of their shingles.
+
+    entries (h, m, n, deg). For each shingle and size class (powers of 4/3) there are two such sets at most, so a shingle's
+    list is as long as there are size classes, and a set meets one list for each of its shingles.
+    """
+    cls = F.floor(F.log("n") / math.log(DEN / NUM))
+    e = entries.join(roots.withColumnRenamed("node", "m"), "m", "left").select("h", "m", "n", "deg", F.coalesce("root", "m").alias("c"), cls.alias("cls"))
+    open_ = e.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
+    e = e.join(open_, "h", "left_semi")
+    one, by = F.struct("m", "n", "c"), F.struct("deg", "m")
+    best = e.groupBy("h", "cls").agg(F.max_by(one, by).alias("a"))
+    other = e.join(best, ["h", "cls"]).filter("c <> a.c").groupBy("h", "cls").agg(F.max_by(one, by).alias("b"))
+    lists = best.join(other, ["h", "cls"], "left").groupBy("h").agg(F.collect_list(F.struct("cls", "a", "b")).alias("x"))
+    near = f"filter(flatten(transform(filter(x, r -> abs(r.cls - cls) <= 1), r -> array(r.a, r.b))), r -> r IS NOT NULL AND r.c <> c AND {DEN} * least(n, r.n) >= {NUM} * greatest(n, r.n))"
+    tried = e.join(lists, "h").select("m", F.explode(F.expr(f"transform({near}, r -> r.m)")).alias("v"))
+    return tried.select(F.greatest("m", "v").alias("u"), F.least("m", "v").alias("v")).distinct()
+
+
 class _Verifier:
     """Verifies pairs of groups: expands them to members and compares whole sets."""
 
@@ -259,7 +279,7 @@ class _Verifier:
 
 
 def similar_documents(
-    docs: DataFrame, count_bits: int = 36, heavy_limit: int = 1 << 19, range_tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, count_bits: int = 36, heavy_limit: int = 1 << 19, range_tokens: int = 2_000_000, star_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, component_id) for every row of ``docs``; (s1, s2) names the row's shingle set."""
     spark = docs.sparkSession
@@ -278,12 +298,12 @@ def similar_documents(
     texts = docs.select("text", F.xxhash64("text").alias("th"))
     prefixes = texts.mapInArrow(_prefixes(order), _PREFIX)
     prefixes = prefixes.withColumns({"g": F.xxhash64("n", "p1", "p2"), "m": F.xxhash64("n", "s1", "s2")})
-    sets_of = prefixes.groupBy("g", "m").agg(*[F.first(c).alias(c) for c in ("n", "s1", "s2", "th", "hs", "ats")])
+    sets_of = prefixes.groupBy("g", "m").agg(*[F.first(c).alias(c) for c in ("n", "s1", "s2", "th", "deg", "hs", "ats")])
     groups = stash(sets_of, "prefix-groups")
     members = groups.select("g", "m", "n", "th")
-    one = groups.groupBy("g").agg(*[F.min_by(c, "m").alias(c) for c in ("n", "hs", "ats")], F.min("m").alias("lead"), F.count(F.lit(1)).alias("k"))
+    one = groups.groupBy("g").agg(*[F.min_by(c, "m").alias(c) for c in ("n", "hs", "ats")], F.min("m").alias("lead"), F.max("deg").alias("deg"), F.count(F.lit(1)).alias("k"))
     one = stash(one, "groups")
-    lead = one.select("g", "n", "lead", "k")
+    lead = one.select("g", "n", "lead", "deg", "k")
     entry = one.select("g", "n", F.explode(F.arrays_zip("hs", "ats")).alias("e")).select("g", "n", F.col("e.hs").alias("h"), F.col("e.ats").alias("at"))
     entry = stash(entry, "prefix-entries")
     several = entry.groupBy("h").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("h")
@@ -298,14 +318,18 @@ def similar_documents(
     sets = stash(got.groupBy("m").agg(F.first("hashes").alias("hashes")).join(live.select("m"), "m", "left_semi"), "live-sets")
     verify = _Verifier(live, sets)
 
-    # First try: members against their group's lead; groups against the smallest group of each shingle.
+    # Members against their group's lead; then groups against the most common sets of each shingle and size class in
+    # other parts, again and again: the text that others were made from has most shingles in common with others.
     within = live.join(lead.filter("k > 1").select("g", "lead"), "g").select(F.col("m").alias("u"), F.col("lead").alias("v"))
-    short = shared.groupBy("h").agg(F.min_by(F.struct("g", "n"), F.struct("n", "g")).alias("x"))
-    tried = shared.join(short, "h").filter(f"g <> x.g AND {DEN} * least(n, x.n) >= {NUM} * greatest(n, x.n)").select("g", F.col("x.g").alias("og")).distinct()
-    leads = lead.select("g", "lead")
-    tried = tried.join(leads, "g").join(leads.select(F.col("g").alias("og"), F.col("lead").alias("o")), "og").select(F.col("lead").alias("u"), F.col("o").alias("v"))
-    first = stash(verify(within.filter("u <> v").unionByName(tried).distinct()), "links-first")
+    first = stash(verify(within.filter("u <> v")), "links-within")
+    stars = stash(shared.select("h", "g").join(lead.select("g", "n", "deg", F.col("lead").alias("m")), "g").drop("g"), "stars")
     roots = stash(components(first), "roots")
+    for _ in range(star_rounds):
+        found = stash(verify(_star_pairs(stars, roots)), "links-star")
+        if found.isEmpty():
+            break
+        first = stash(first.unionByName(found), "links-first")
+        roots = stash(components(first), "roots")
 
     # What is still apart: pairs of members in different parts that share a prefix shingle, or a group.
     root = F.coalesce("root", "m").alias("c")
