@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def slot_statistics(events: DataFrame, key: Column, ts: str, z: str, ve: Column, slot: str = "1 day", late: str | None = "2 days") -> DataFrame:
     """(start, bau_id, w, wz, n) for each slot; on a stream, events later than ``late`` behind the newest are dropped."""
-    e = events.withColumn("bau_id", key).filter("bau_id IS NOT NULL")
+    e = events.withColumns({"bau_id": key, ts: F.col(ts).cast("timestamp")}).filter("bau_id IS NOT NULL")
     if late and events.isStreaming:
         e = e.withWatermark(ts, late)
     g = e.groupBy(F.window(ts, slot).alias("slot"), "bau_id").agg(F.sum(1 / ve).alias("w"), F.sum(F.col(z) / ve).alias("wz"), F.count(F.lit(1)).alias("n"))
