@@ -247,7 +247,8 @@ def read_back(spark: SparkSession, archive: str, index_path: str) -> DataFrame:
     # A block holds a bounded number of bytes, so of records.
     ranges = ranges.groupBy("archive", "block").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
     data = spark.read.schema(_ARCHIVE).parquet(archive).select("archive", "block", "data")
-    return data.join(ranges, ["archive", "block"]).select("data", "ranges").mapInArrow(_read, _DIGEST)
+    # Both sides are dealt by block at every size: the ranges of a large archive are no small table.
+    return data.join(ranges.hint("merge"), ["archive", "block"]).select("data", "ranges").mapInArrow(_read, _DIGEST)
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
