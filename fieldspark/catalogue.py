@@ -768,3 +768,67 @@ def laplace_poisson(spark, d):
 @query("mc_predict")
 def mc_predict(spark, d):
     return laplace_poisson(spark, d).select("bau_id", "p_mu", "RMSPE_mu", "mu_percentile_5", "mu_percentile_95")
+
+
+@query("simulate")
+def simulate(spark, d):
+    from .plans.model import fit_points
+
+    m = fit_points("z ~ 1", points(spark, d), ("x", "y"), cellsize=(5.0, 5.0), nres=1, n_em=3, std=0.2)
+    return m.simulate(20).select("obs_id", F.posexplode("samples").alias("draw", "z"))
+
+
+@query("space_time_fit")
+def space_time_fit(spark, d):
+    from .plans.model import fit_space_time
+
+    e = table(spark, d, "events").select(F.col("event_id").alias("obs_id"), (F.col("user_id") % 10).cast("double").alias("x"), (F.col("user_id") % 7).cast("double").alias("y"), "ts", F.log("value").alias("z"))
+    return fit_space_time("z ~ 1", e, ("x", "y"), "ts", cellsize=(1.0, 1.0), nres=2, n_time=3, std=0.5, n_em=3).predict()
+
+
+@query("areal_fit")
+def areal_fit(spark, d):
+    from .plans.model import fit_areas
+
+    u = GRID.centres(spark, ("x", "y")).withColumns({"fs": F.lit(1.0), "wts": F.lit(1.0)})
+    a = areas(spark, d).withColumns({"z": F.sin(F.col("obs_id") / 5.0), "std": F.lit(0.1)})
+    b = B.auto_basis(plane(), [(0.0, 50.0), (0.0, 105.0)], nres=2)
+    return fit_areas("z ~ 1", a, u, GRID, b, ("x", "y"), n_em=4, known_sigma2=0.0).predict()
+
+
+@query("global_grid", "SELECT r.res::INT AS res, (10 * power(3, r.res) + 2)::BIGINT AS n FROM range(6) r(res)")
+def global_grid(spark, d):
+    from .sources.dggs import isea3h_centres
+
+    return spark.createDataFrame([(k, len(isea3h_centres(k))) for k in range(6)], "res int, n long")
+
+
+@query("support_circles", "SELECT k::BIGINT AS k, 1 AS res, ord::INT AS ord, round(cx + 30 * cos(2 * pi() * ord / 48), 6) AS x, round(cy + 30 * sin(2 * pi() * ord / 48), 6) AS y FROM (VALUES (0, 10.0::DOUBLE, 20.0::DOUBLE), (1, 25.0, 50.0), (2, 40.0, 80.0)) v(k, cx, cy), range(48) r(ord)")
+def support_circles(spark, d):
+    from .plans.frames import support_circles as circles
+
+    return circles(spark, B.local_basis(plane(), CENTRES, 30.0)).withColumns({"x": R6("x"), "y": R6("y")})
+
+
+@query("long_frame", "SELECT c_custkey, 'acctbal' AS quantity, c_acctbal AS value FROM customer UNION ALL SELECT c_custkey, 'nation', c_nationkey::DOUBLE FROM customer")
+def long_frame(spark, d):
+    from .plans.frames import long_frame as long
+
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("acctbal"), F.col("c_nationkey").alias("nation"))
+    return long(c, "c_custkey", ["acctbal", "nation"])
+
+
+@query("outline_shift", "SELECT g, CASE WHEN max(lon) OVER (PARTITION BY g) > 180 THEN lon - 360 ELSE lon END AS lon FROM (SELECT n_regionkey AS g, (n_nationkey * 17 % 230)::DOUBLE AS lon FROM nation)")
+def outline_shift(spark, d):
+    from .plans.frames import outline_without_jumps
+
+    v = table(spark, d, "nation").select(F.col("n_regionkey").alias("g"), (F.col("n_nationkey") * 17 % 230).cast("double").alias("lon"))
+    return outline_without_jumps(v, "g", "lon")
+
+
+@query("dateline_split", "SELECT s_suppkey::VARCHAR || side AS id, CASE WHEN side = 'e' THEN 179.999::DOUBLE ELSE -179.999 END AS edge FROM supplier, (VALUES ('e'), ('w')) v(side)")
+def dateline_split(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    p = P.boxes(s, F.lit(175.0), F.lit(-175.0), F.lit(-5.0), F.lit(5.0))
+    e = P.split_dateline(p)
+    return e.select("id", F.expr("CASE WHEN lon > 0 THEN array_max(transform(ring, p -> p.x)) ELSE array_min(transform(ring, p -> p.x)) END").alias("edge"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import families
-from ..operators.basis import AnyBasis, TensorBasis, centre_distances
+from ..operators.basis import AnyBasis, TensorBasis
 from ..operators.lattice import ar1_precision, block_diagonal, neighbours, precision, spherical_taper, taper_range
 from .linalg import bfgs, chol, logdet, spd_inverse
 
@@ -109,8 +109,12 @@ class LaplaceState:
     names: list[str] = field(default_factory=list)
 
 
-def prior_precision(theta: np.ndarray, basis: AnyBasis, kind: str, taper: float | None) -> np.ndarray:
-    """Precision of the coefficients from log parameters: (variance, range) of each spatial resolution, then (variance, rho) of time."""
+def prior_precision(theta: np.ndarray, basis: AnyBasis, kind: str, taper: float | None, random: tuple[int, ...] = ()) -> np.ndarray:
+    """Precision of the coefficients from log parameters: (variance, range) of each spatial resolution, then (variance, rho) of time,
+    then the variance of each group of random effects, whose levels follow the basis coefficients."""
+    if random:
+        inner = prior_precision(theta[: -len(random)], basis, kind, taper)
+        return block_diagonal([inner, *[np.eye(n) * math.exp(-np.clip(t, -8, 8)) for n, t in zip(random, theta[-len(random) :], strict=True)]])
     spatial = basis.space if isinstance(basis, TensorBasis) else basis
     blocks = []
     for i, level in enumerate(np.unique(spatial.res)):
@@ -162,7 +166,7 @@ def inner(rows: Rows, response, link, alpha, sigma2, phi, q, eta) -> tuple[float
 
 def fit(
     rows: Rows, basis: AnyBasis, response: str, link: str, alpha0: np.ndarray, kind: str | None = None, taper: float | None = 3.0,
-    known_sigma2: float | None = None, fine: bool = True, optimiser=bfgs, most: int = 40,
+    known_sigma2: float | None = None, fine: bool = True, optimiser=bfgs, most: int = 40, random: tuple[int, ...] = (),
 ) -> LaplaceState:
     """Fixed effects and variance parameters by the outer search, coefficients by the inner one."""
     families.check(response, link)
@@ -176,6 +180,7 @@ def fit(
         t0 += [0.0, 0.0] if kind == "neighbour" else [math.log(0.1**i + 1e-3), 0.0]
     if isinstance(basis, TensorBasis):
         t0 += [0.0, math.atanh(0.1)]
+    t0 += [math.log(0.5)] * len(random)
     dispersed = response in families.DISPERSED
     free_s2 = fine and known_sigma2 is None
     x0 = np.concatenate([alpha0, t0, [math.log(0.05)] if free_s2 else [], [0.0] if dispersed else []])
@@ -190,7 +195,7 @@ def fit(
     def loss(x: np.ndarray) -> float:
         alpha, theta, s2, phi = unpack(x)
         try:
-            q = prior_precision(theta, basis, kind, taper)
+            q = prior_precision(theta, basis, kind, taper, random)
             value, eta, _ = inner(rows, response, link, alpha, s2, phi, q, warm["eta"])
         except (np.linalg.LinAlgError, FloatingPointError, OverflowError):
             return 1e12
@@ -204,7 +209,7 @@ def fit(
     high = np.concatenate([np.full(p, np.inf), np.full(n_log, 8.0)])
     x, value, ok = optimiser(loss, x0, low, high, most=most)
     alpha, theta, s2, phi = unpack(x)
-    q = prior_precision(theta, basis, kind, taper)
+    q = prior_precision(theta, basis, kind, taper, random)
     value, eta, h = inner(rows, response, link, alpha, s2, phi, q, warm["eta"])
     cov_alpha = _alpha_covariance(loss, x, p)
     return LaplaceState(response, link, alpha, s2, phi, q, eta, spd_inverse(h), value, x, ok, cov_alpha, 0, time.time() - begun, names)
@@ -290,6 +295,3 @@ def predict(
 
     return units.mapInArrow(run, schema)
 
-
-def distances(basis: AnyBasis):
-    return centre_distances(basis)

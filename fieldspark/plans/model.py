@@ -126,6 +126,14 @@ class Model:
         q = np.percentile(a, list(percentiles), axis=0)
         return {n: [float(v) for v in q[:, i]] for i, n in enumerate(self.names)}
 
+    def random_effects(self) -> dict[str, dict[str, float]]:
+        """Conditional modes of random effects by group and level."""
+        out, at = {}, self.basis.n
+        for (_, group), levels in zip(self.formula.random, self.info.get("random_levels", []), strict=True):
+            out[group] = {v: float(self.laplace.eta[at + i]) for i, v in enumerate(levels)}
+            at += len(levels)
+        return out
+
     def nobs(self) -> int:
         return self.m
 
@@ -141,7 +149,7 @@ class Model:
         st = isinstance(self.basis, B.TensorBasis)
         nres = self.basis.space.nres if st else self.basis.nres
         k = r * (r + 1) // 2 if self.k_type == "unstructured" else 2 * nres + 2 * st
-        return len(self.names) + 1 + k + (self.method == "Laplace" and self.response in families.DISPERSED)
+        return len(self.names) + 1 + k + len(self.formula.random) + (self.method == "Laplace" and self.response in families.DISPERSED)
 
     def aic(self, k: float = 2.0) -> float:
         return -2 * self.loglik() + k * self.n_parameters()
@@ -207,6 +215,19 @@ def default_budget(n: int, k_type: str, spacetime: bool) -> int:
     return max(1, most // 10 if spacetime else most)
 
 
+def random_columns(f: Fm.Formula, units: DataFrame, most: int = 1000) -> tuple[list[Column], list[list[str]]]:
+    """An indicator array for each group of random effects, and its levels over all units: levels without data keep their prior."""
+    columns, levels = [], []
+    for inner, group in f.random:
+        found = sorted(r[0] for r in units.select(F.col(group).cast("string")).distinct().limit(most + 1).collect() if r[0] is not None)
+        if len(found) > most:
+            raise ValueError(f"{group} has more than {most} levels")
+        x = F.lit(1.0) if inner == "1" else F.expr(inner).cast("double")
+        columns.append(F.array(*[F.when(F.col(group).cast("string") == v, x).otherwise(0.0) for v in found]))
+        levels.append(found)
+    return columns, levels
+
+
 def fit_points(
     formula: str, data: DataFrame, coords: Sequence[str], manifold: Manifold | None = None, cellsize=None, xlims=None, ylims=None, covariates: DataFrame | None = None,
     basis: B.AnyBasis | None = None, nres: int | None = None, regular: int = 1, kind: str = "bisquare", average: bool = True, sums: Sequence[str] = (), std: float | str | None = None,
@@ -256,7 +277,8 @@ def fit_points(
     design = Fm.design(f, units)
     n_cells = grid.cells
     units = B.unit_basis(units, n_cells, basis, coords, grid.size, normalise_basis)
-    units = units.select("bau_id", *[F.col(c).alias(f"loc{i + 1}") for i, c in enumerate(coords)], F.col("fs").alias("v"), "wts", "s", design.array().alias("x"), F.lit(1.0).alias("k"))
+    effects, levels = random_columns(f, units)
+    units = units.select("bau_id", *[F.col(c).alias(f"loc{i + 1}") for i, c in enumerate(coords)], F.col("fs").alias("v"), "wts", F.concat("s", *effects).alias("s"), design.array().alias("x"), F.lit(1.0).alias("k"))
     units = stash(units, "units")
 
     counts = response in families.COUNTS
@@ -268,9 +290,10 @@ def fit_points(
     z = F.round("z") if counts else F.col("z")
     obs = b.select("obs_id", "bau_id", z.alias("z"), (F.col("std") * F.col("std")).alias("ve"), "k").join(units.select("bau_id", "v", "x", "s"), "bau_id")
     obs = stash(obs, "obs")
-    m, r, p = obs.count(), basis.n, len(design.names)
+    m, r, p = obs.count(), basis.n + sum(map(len, levels)), len(design.names)
     if m == 0:
         raise ValueError("no data fall in any unit")
+    info["random_levels"] = levels
     model = Model(f, design.names, manifold, grid, coords, basis, units, obs, method, response, link, k_type, m, info=info)
     if method == "EM":
         rows, const = obs, 0.0
@@ -291,5 +314,95 @@ def fit_points(
         g = stats.cross_products(start.select("x", F.array(F.lit(0.0)).alias("s"), "z", F.lit(1.0).alias("ve"), F.lit(1.0).alias("v")), [lambda ve, v: np.ones_like(ve)], p + 2)[0]
         alpha0 = np.linalg.solve(g[1 : p + 1, 1 : p + 1] + 1e-9 * np.eye(p), g[1 : p + 1, -1])
         prior = None if k_type == "precision" else "block-exponential"
-        model.laplace = laplace.fit(rows, basis, response, link, alpha0, prior, taper or 3.0, known_sigma2, True, *([optimiser] if optimiser else []), most=max_outer)
+        model.laplace = laplace.fit(rows, basis, response, link, alpha0, prior, taper or 3.0, known_sigma2, True, *([optimiser] if optimiser else []), most=max_outer, random=tuple(map(len, levels)))
+    return model
+
+
+def fit_space_time(
+    formula: str, data: DataFrame, coords: Sequence[str], ts: str, manifold: Manifold | None = None, cellsize=None, unit: str | None = None, every: int = 1,
+    basis: B.TensorBasis | None = None, nres: int = 1, regular: int = 1, n_time: int = 10, std: float | str = 1.0, n_em: int = 20, tol: float = 0.01, k_type: str = "block-exponential",
+    known_sigma2: float | None = None, id_col: str = "obs_id",
+) -> Model:
+    """A Gaussian model on units x time slots, with products of spatial and temporal functions.
+
+    Units that no observation meets are made when predictions need them: here all spatial units at all slots are kept.
+    """
+    from ..functions.geometry import plane as make_plane
+
+    manifold = manifold or make_plane()
+    coords = tuple(coords)
+    f = Fm.parse(formula)
+    d = data.select(
+        F.col(id_col).cast("long").alias("obs_id"), *[F.col(c).cast("double").alias(c) for c in coords], F.col(ts).cast("timestamp").alias("ts"),
+        F.expr(f.response).cast("double").alias("z"), (F.col(std) if isinstance(std, str) else F.lit(float(std))).cast("double").alias("std"),
+    )
+    d = Fm.checked(d, ["z", *coords])
+    first, last, a, b = d.agg(F.min("ts").cast("string"), F.max("ts").cast("string"), F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    unit = unit or U.default_time_unit(a, b)
+    spark = data.sparkSession
+    slots = stash(U.time_slots(spark, first, last, unit, every), "slots")
+    n_slots = slots.count()
+    space, grid = U.auto_baus(d, manifold, coords, cellsize)
+    if basis is None:
+        spatial = B.auto_basis(manifold, U.extent(d, coords), nres, regular)
+        basis = B.tensor(spatial, B.time_basis(n_slots, n_time, "bisquare"))
+    st = U.space_time(space, slots.select("t"), grid.cells).withColumn("time", F.col("t").cast("double"))
+    design = Fm.design(f, st)
+    st = B.evaluate(st, basis, (*coords, "time"), normalise=True)
+    units = stash(st.select("bau_id", "t", *[F.col(c).alias(f"loc{i + 1}") for i, c in enumerate(coords)], F.col("fs").alias("v"), "wts", "s", design.array().alias("x"), F.lit(1.0).alias("k")), "units")
+    binned = S.bin_space_time(d, grid.key([F.col(c) for c in coords]), "ts", slots, grid.cells, obs_id="obs_id")
+    obs = binned.select(F.col("bau_id").alias("obs_id"), "bau_id", "z", (F.col("std") * F.col("std")).alias("ve"), F.lit(1.0).alias("k")).join(units.select("bau_id", "v", "x", "s"), "bau_id")
+    obs = stash(obs, "obs")
+    m = obs.count()
+    if m == 0:
+        raise ValueError("no data fall in any slot and unit")
+    model = Model(f, design.names, manifold, grid, coords, basis, units, obs, "EM", "gaussian", "identity", k_type, m, info={"slots": n_slots, "unit": unit})
+    model.statistics = stats.Statistics(obs, basis.n, len(design.names))
+    model.em = em.fit(model.statistics, basis, basis.n, len(design.names), n_em, tol, k_type, known_sigma2=known_sigma2)
+    return model
+
+
+def areal_rows(areas: DataFrame, grid: U.Grid, units: DataFrame, id_col: str = "obs_id", normalise: bool = True) -> DataFrame:
+    """Observations (obs_id, z, std, ring) of footprints as rows of weighted means (sums without ``normalise``) of their units.
+
+    ``v`` is the footprint's fine-scale weight, sum of squared weights times the units'. Footprints that overlap have
+    correlated fine-scale parts, which this diagonal form leaves out; ``overlap`` counts units shared with others.
+    """
+    c = S.incidence_areas(areas, grid, units.select("bau_id", "wts"), id_col)
+    c = S.normalise(c, id_col) if normalise else c
+    shared = c.groupBy("bau_id").agg(F.count(F.lit(1)).alias("_n"))
+    j = c.join(units.select("bau_id", "v", "x", "s").withColumnRenamed("x", "x_fixed"), "bau_id").join(shared, "bau_id")
+    j = j.select(
+        F.col(id_col).cast("long").alias(id_col), F.concat("x_fixed", "s").alias("all"), "x", (F.col("x") * F.col("x") * F.col("v")).alias("v"), F.when(F.col("_n") > 1, 1.0).otherwise(0.0).alias("overlap"), F.size("x_fixed").alias("p")
+    )
+    p = j.select("p").first()[0]
+    weighted = j.select(id_col, F.transform("all", lambda t: t * F.col("x")).alias("all"), "v", "overlap")
+    g = stats.vector_sums(weighted, id_col, "all", ["v", "overlap"])
+    g = g.select(id_col, F.slice("all", 1, p).alias("x"), F.expr(f"slice(all, {p + 1}, size(all))").alias("s"), "v", "overlap")
+    return areas.select(id_col, "z", (F.col("std") * F.col("std")).alias("ve")).join(g, id_col)
+
+
+def fit_areas(formula: str, areas: DataFrame, units: DataFrame, grid: U.Grid, basis: B.AnyBasis, coords: Sequence[str], n_em: int = 50, tol: float = 0.01, k_type: str = "block-exponential", known_sigma2: float | None = None, normalise: bool = True, points: DataFrame | None = None) -> Model:
+    """A Gaussian model of footprints (and, as a second dataset, of binned points: obs_id, bau_id, z, std).
+
+    Footprints must not share units, as their errors would be correlated beyond the diagonal form; those that do are an error
+    unless the fine-scale variance is held at 0.
+    """
+    f = Fm.parse(formula)
+    design = Fm.design(f, units)
+    u = B.evaluate(units, basis, coords, normalise=True)
+    u = stash(u.select("bau_id", *[F.col(c).alias(f"loc{i + 1}") for i, c in enumerate(coords)], F.col("fs").alias("v"), "wts", "s", design.array().alias("x"), F.lit(1.0).alias("k")), "units")
+    rows = areal_rows(areas, grid, u, "obs_id", normalise).withColumn("bau_id", F.lit(None).cast("long"))
+    if points is not None:
+        q = points.join(u.select("bau_id", "v", "x", "s"), "bau_id").select("obs_id", "z", (F.col("std") * F.col("std")).alias("ve"), "x", "s", "v", F.lit(0.0).alias("overlap"), "bau_id")
+        rows = S.bind_datasets(rows, q).drop("dataset_id")
+    rows = stash(rows.withColumn("k", F.lit(1.0)), "obs")
+    if known_sigma2 != 0 and rows.filter("overlap > 0").limit(1).count():
+        raise ValueError("footprints share units: hold the fine-scale variance at 0 (known_sigma2=0)")
+    m, r, p = rows.count(), basis.n, len(design.names)
+    model = Model(f, design.names, plane(), grid, tuple(coords), basis, u, rows, "EM", "gaussian", "identity", k_type, m)
+    model.statistics = stats.Statistics(rows, r, p)
+    model.em = em.fit(model.statistics, basis, r, p, n_em, tol, k_type, known_sigma2=known_sigma2)
+    # Units inside a footprint are not observed themselves: predictions use coefficients only.
+    model.obs = rows if points is not None else rows.filter("bau_id IS NOT NULL")
     return model

@@ -16,7 +16,7 @@ from .stats import Statistics, vector_sums
 
 def observation_weights(obs: DataFrame) -> DataFrame:
     """(bau_id, w, zt): precision sums and weighted means of observations that each lie in one unit."""
-    g = obs.groupBy("bau_id").agg(F.sum(1 / F.col("ve")).alias("w"), F.sum(F.col("z") / F.col("ve")).alias("wz"))
+    g = obs.filter("bau_id IS NOT NULL").groupBy("bau_id").agg(F.sum(1 / F.col("ve")).alias("w"), F.sum(F.col("z") / F.col("ve")).alias("wz"))
     return g.select("bau_id", "w", (F.col("wz") / F.col("w")).alias("zt"))
 
 
