@@ -13,7 +13,22 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 _LETTERS = re.compile(rb"[a-z]+\Z")
-_ENDED = re.compile(rb"([a-z]+)([.,;:!?]+)\Z")
+_ENDS = ".,;:!?"
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where printable, else from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _plain(word: str) -> bool:
+    """Letters of Latin scripts only: one pre-token, whose lower-casing and normal form hold no surprise."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -25,7 +40,7 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 class Encoder(dict):
     """Word (bytes) to its ids as little-endian unsigned 32-bit integers; bounded, filled as words come."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,11 +54,16 @@ class Encoder(dict):
             self.clear()
         if _LETTERS.match(word):
             ids = [t.id for t in self.model.tokenize(word.decode())]
-        elif m := _ENDED.match(word):
-            self[word] = both = self[m[1]] + self[m[2]]
-            return both
         else:
-            ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+            text = word.decode("utf-8", "surrogatepass")
+            stem = text.rstrip(_ENDS)
+            if stem != text and stem and _plain(stem):
+                self[word] = both = self[stem.encode()] + self[text[len(stem) :].encode()]
+                return both
+            if stem == text and _plain(text):
+                ids = [t.id for t in self.model.tokenize("".join([_BYTE_LETTERS[b] for b in text.lower().encode()]))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         got = np.array(ids, "<u4").tobytes()
         if len(word) <= 64:
             self[word] = got
