@@ -368,8 +368,14 @@ def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays (of rows equal in doc_id, one)."""
-    found = similar_documents(docs).filter("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
+    """Pipeline stage: of each component the row with the smallest doc_id stays (nulls last), of equal rows one.
+
+    Rows are told apart by a hash of doc_id and text, so repeated and null ids are judged row by row.
+    """
     columns = docs.columns
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+    found = similar_documents(keyed, id_col="_rid").select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("_c")).distinct()
+    named = found.join(keyed.select("_rid", "doc_id").distinct(), "_rid")
+    best = named.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_rid")).alias("x"))
+    kept = keyed.join(best.select(F.col("x._rid").alias("_rid")), "_rid", "left_semi").dropDuplicates(["_rid"])
     return kept.select(*columns)

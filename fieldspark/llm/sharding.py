@@ -93,17 +93,17 @@ def shard_rows(df: DataFrame, keys: list[str], n_shards: int = 8, seed: int = 7,
     sizes = [n // n_shards + (i < n % n_shards) for i in range(n_shards)]
     cols = [F.col(k) for k in keys]
     rows = df.withColumn("_h", F.xxhash64(F.lit(seed), *cols))
-    rows = rows.withColumn("part", _lead(F.col("_h"), bits))
-    matrix = stash(communication_matrix(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), bits, sizes, seed), "shard-matrix")
+    rows = rows.withColumn("_part", _lead(F.col("_h"), bits))
+    matrix = stash(communication_matrix(rows.groupBy(F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n")), bits, sizes, seed), "shard-matrix")
     ends = "transform(sequence(0, size(dealt) - 1), i -> aggregate(slice(dealt, 1, i + 1), 0L, (a, x) -> a + x))"
-    matrix = matrix.select("part", F.expr(ends).alias("_ends"))
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), *cols), "_h")
-    rows = rows.withColumn("_r", F.row_number().over(local) - 1).join(matrix, "part")
+    matrix = matrix.select(F.col("part").alias("_part"), F.expr(ends).alias("_ends"))
+    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), *cols), "_h")
+    rows = rows.withColumn("_r", F.row_number().over(local) - 1).join(matrix, "_part")
     rows = rows.withColumn("shard", F.expr("size(filter(_ends, e -> e <= _r))")).drop("_ends")
     rows = rows.withColumn("_h2", F.xxhash64(F.lit(seed + 2), *cols)).withColumn("_sub", _lead(F.col("_h2"), sub_bits))
     # Rank inside (shard, sub-bucket); unsigned order of the hash is the order of its leading bits, then the rest.
-    rows = with_running_total(rows, ["shard"], "_sub", [F.col("_h2"), F.col("part"), F.col("_r")], F.lit(1), "slot")
-    return rows.drop("_h", "_h2", "_sub", "_r", "part")
+    rows = with_running_total(rows, ["shard"], "_sub", [F.col("_h2"), F.col("_part"), F.col("_r")], F.lit(1), "slot")
+    return rows.drop("_h", "_h2", "_sub", "_r", "_part")
 
 
 def digest(docs: DataFrame) -> DataFrame:
