@@ -447,15 +447,15 @@ def cells(spark, d):
     return b.select(F.col("bau_id").alias("obs_id"), F.col("ux").alias("x"), F.col("uy").alias("y"), "z")
 
 
-@query("variogram_cressie", f"WITH {_VGM} SELECT bin, np, round(dist, 6) AS dist, round(gamma, 6) AS gamma FROM vg")
+@query("variogram_robust", f"WITH {_VGM} SELECT bin, np, round(dist, 6) AS dist, round(gamma, 6) AS gamma FROM vg")
 def variogram(spark, d):
-    v = V.cressie_variogram(V.pairs_within(cells(spark, d), ("x", "y"), "z", 26.0), 26.0)
+    v = V.robust_variogram(V.pairs_within(cells(spark, d), ("x", "y"), "z", 26.0), 26.0)
     return v.select("bin", "np", R6("dist").alias("dist"), R6("gamma").alias("gamma"))
 
 
 @query("nugget_linear_fit", f"WITH {_VGM} SELECT round(regr_intercept(gamma, dist), 6) AS nugget FROM (SELECT * FROM vg ORDER BY bin LIMIT 4)")
 def nugget(spark, d):
-    v = V.cressie_variogram(V.pairs_within(cells(spark, d), ("x", "y"), "z", 26.0), 26.0).orderBy("bin").limit(4)
+    v = V.robust_variogram(V.pairs_within(cells(spark, d), ("x", "y"), "z", 26.0), 26.0).orderBy("bin").limit(4)
     return v.agg(R6(F.regr_intercept("gamma", "dist")).alias("nugget"))
 
 
