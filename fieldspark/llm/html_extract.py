@@ -61,12 +61,13 @@ _CLOSES_P = frozenset("p div ul ol dl table article section h1 h2 h3 h4 h5 h6 bl
 
 #: Prefixes of layout switches, which say nothing about the element's own text.
 _SWITCH = ("has-", "no-", "with-", "without-", "is-", "js-")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADING = re.compile(r"header|masthead|banner", re.I)
 
 
 def _marked(value: str, inside: bool) -> bool:
     """Whether a class, id or role marks boilerplate; the heading of marked content is content."""
-    for token in value.split():
+    for token in _CAMEL.sub("-", value).split():
         if not token.lower().startswith(_SWITCH) and (m := _MARKS.search(token)) and not (inside and _HEADING.search(m[0])):
             return True
     return False
