@@ -161,6 +161,13 @@ def bau_hex(spark, d):
     return p.groupBy(U.hex_key(F.col("x"), F.col("y"), (0.0, 50.0), (0.0, 105.0), 5.0).alias("bau_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("bau_hex_points")
+def bau_hex_points(spark, d):
+    """Every point; ``bau_hex`` is its comparison with SQL on some of them, away from ties and edges."""
+    k = U.hex_key(F.col("x"), F.col("y"), (0.0, 50.0), (0.0, 105.0), 5.0)
+    return points(spark, d).groupBy(k.alias("bau_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("bau_hull", None)
 def bau_hull(spark, d):
     u, _ = U.auto_baus(points(spark, d), plane(), ("x", "y"), (5.0, 5.0))

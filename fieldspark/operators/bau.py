@@ -152,15 +152,18 @@ def hex_cells(spark: SparkSession, xrange: tuple[float, float], yrange: tuple[fl
 
 
 def hex_key(x: Column, y: Column, xrange: tuple[float, float], yrange: tuple[float, float], size: float) -> Column:
-    """Number of the hexagon whose centre is nearest: the better of the two rows around a point."""
+    """Number of the hexagon whose centre is nearest: the better of the two rows around a point; null outside all of them.
+
+    Of equally near centres, as computed in doubles, the one in the lower row, then the one further right.
+    """
     dy = size * np.sqrt(3) / 2
-    nx = steps(xrange[0], xrange[1], size)
+    nx, ny = steps(xrange[0], xrange[1], size), steps(yrange[0], yrange[1], dy)
 
     def candidate(row: Column) -> tuple[Column, Column]:
         shift = F.when(F.pmod(row, F.lit(2)) == 1, size / 2).otherwise(0.0)
         col = F.floor((x - xrange[0] - shift) / size + 0.5)
         d = F.pow(x - xrange[0] - shift - col * size, 2) + F.pow(y - yrange[0] - row * dy, 2)
-        return d, (row * nx + col).cast("long")
+        return d, F.when((col >= 0) & (col < nx) & (row >= 0) & (row < ny), (row * nx + col).cast("long"))
 
     low = F.floor((y - yrange[0]) / dy)
     (d1, k1), (d2, k2) = candidate(low), candidate(low + 1)
