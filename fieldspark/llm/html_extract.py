@@ -8,8 +8,8 @@ nothing, a dive point where it falls back to nothing; text between them is one r
 on other pages the region with most text and regions of at least ``share`` of it stay, where a line whose text is
 mostly links counts as empty too.
 
-One pass of Arrow batches, no shuffle. The parser is a single regular expression over the whole html, linear in its
-length, and never fails on broken markup.
+One pass of Arrow batches, no shuffle. The parser is one regular expression for markup and one for each kind of skipped
+element, linear in the html's length, and never fails on broken markup.
 
 Defined results: null or empty html, or no text: empty string, 0 characters. Repeated pages each give a row. Extra
 columns are not read.
@@ -28,13 +28,23 @@ from pyspark.sql import functions as F
 
 from .common import batches, table
 
-#: Markup: comments, declarations, raw-text elements with their content, tags; an unclosed one runs to the end.
+#: Markup: comments, declarations, tags; an unclosed one runs to the end.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|math|object|canvas|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements skipped with their content, up to the first end tag; without one only script and style run to the end.
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript textarea iframe title".split()}
+#: The same for elements that may hold others of their name, up to their own end tag.
+_NESTED = {
+    name: re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>{name})(?![\w:-])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    for name in "svg math object canvas template select".split()
+}
+#: Of these a slash closes the start tag.
+_FOREIGN = frozenset({"svg", "math"})
+#: What a head may hold; anything else ends it.
+_IN_HEAD = frozenset("title base basefont bgsound link meta script style noscript template".split())
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|$|=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Elements that do not break a line.
@@ -80,6 +90,36 @@ class Line:
         self.text, self.links, self.inside = text, links, inside
 
 
+class Ends:
+    """Where elements skipped with their content end."""
+
+    def __init__(self, page: str):
+        self.page, self.nested, self.none = page, {}, set()
+
+    def after(self, name: str, start: int, stop: int) -> int:
+        """The end of the element whose start tag is at [start, stop); ``stop`` where only the tag is skipped."""
+        if name in _NESTED:
+            if name not in self.nested:
+                self.nested[name] = self._pairs(name)
+            return self.nested[name].get(start, stop)
+        # Once an end tag is missing it is for the rest of the page: every search pays for itself.
+        found = None if name in self.none else _RAW[name].search(self.page, stop)
+        if found:
+            return found.end()
+        self.none.add(name)
+        return len(self.page) if name in ("script", "style") else stop
+
+    def _pairs(self, name: str) -> dict[int, int]:
+        out, starts = {}, []
+        for m in _NESTED[name].finditer(self.page):
+            if m["close"]:
+                if starts:
+                    out[starts.pop()] = m.end()
+            elif m["name"] and not (name in _FOREIGN and m["attrs"].endswith("/")):
+                starts.append(m.start())
+        return out
+
+
 def lines_of(page: str) -> tuple[list[Line], bool]:
     """The page's lines, boilerplate as empty lines, and whether the page marks its content."""
     out: list[Line] = []
@@ -106,17 +146,34 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             depth_a -= name == "a"
 
     at = 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at and not skip:
-            piece = page[at : m.start()]
+    ends = Ends(page)
+    head = False
+    while m := _MARKUP.search(page, at):
+        piece = page[at : m.start()]
+        head = head and not piece.strip()
+        if piece and not skip and not head:
             parts.append(piece)
             if depth_a:
                 links += len(piece.strip())
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
-            if m["raw"]:
-                flush()
+            continue
+        if head:
+            if m["close"]:
+                head = name not in ("head", "body", "html")
+                continue
+            if name in _IN_HEAD:
+                if name in _RAW or name in _NESTED:
+                    at = ends.after(name, m.start(), at)
+                continue
+            head = False
+        if not m["close"] and (name == "head" or name != "title" and name in _RAW or name in _NESTED):
+            flush()
+            if name == "head":
+                head = True
+            elif not (name in _FOREIGN and m["attrs"].endswith("/")):
+                at = ends.after(name, m.start(), at)
             continue
         inline = name in INLINE
         if not inline:
