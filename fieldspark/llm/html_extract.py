@@ -5,8 +5,9 @@ boilerplate elements (by tag, role, class or id) count as empty lines, whose tex
 sums text lengths over sliding windows of ``window`` lines. A surge point is where the distribution rises from
 nothing, a dive point where it falls back to nothing; text between them is one region. Pages that mark their content
 (``article`` or ``main``) are measured inside the marked lines, with everything else empty, and keep all their regions;
-on other pages the region with most text and regions of at least ``share`` of it stay, where a line whose text is
-mostly links counts as empty too.
+on other pages the region with most text stays, and with it regions in the same container (the innermost element of
+more than one line that holds over half of that region's text) and regions of at least ``share`` of its text; a line
+whose text is mostly links counts as empty there too.
 
 One pass of Arrow batches, no shuffle. The parser is one regular expression for markup and one for each kind of skipped
 element, linear in the html's length, and never fails on broken markup.
@@ -39,30 +40,39 @@ _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscr
 #: The same for elements that may hold others of their name, up to their own end tag.
 _NESTED = {
     name: re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>{name})(?![\w:-])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-    for name in "svg math object canvas template select".split()
+    for name in "svg object canvas template select annotation annotation-xml".split()
 }
 #: Of these a slash closes the start tag.
-_FOREIGN = frozenset({"svg", "math"})
+_FOREIGN = frozenset({"svg", "math", "annotation", "annotation-xml"})
 #: What a head may hold; anything else ends it.
 _IN_HEAD = frozenset("title base basefont bgsound link meta script style noscript template".split())
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|$|=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Elements that do not break a line.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mfenced mpadded mphantom mtable mtr mtd semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset input label option audio video".split())
 #: Words in class, id or role that mark boilerplate.
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
+_WORDS = (
+    r"(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
     r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side-bar|aside|rail|widget|widgets|footer|foot|"
     r"header|masthead|topbar|site-header|page-header|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|disqus|respond|replies|reply|discussion|"
-    r"pagination|pager|copyright|legal|disclaimer|skip|skip-link|toolbar|search|form|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+    r"pagination|pager|copyright|legal|disclaimer|skip|skip-link|toolbar|search|form|complementary|contentinfo)"
 )
+_MARKS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I)
+#: Words that an id may hold beside those; an id with any other word names a subject.
+_BESIDE = r"(?:main|site|page|top|bottom|left|right|primary|secondary|global|inner|outer|container|wrapper|wrap|bar|box|area|block|list|links|link|icons|buttons|posts|articles|section|\d+)"
+_ID_MARKS = re.compile(rf"(?:{_BESIDE}[_-])*{_WORDS}(?:[_-](?:{_WORDS}|{_BESIDE}))*", re.I)
+#: Sections and headings of marked content are content, but for readers' replies.
+_PARTS = frozenset("section h1 h2 h3 h4 h5 h6".split())
+_REPLIES = re.compile(r"(?:comments?|disqus|respond)", re.I)
+#: Elements that hold several blocks.
+_CONTAINERS = frozenset("div section td th center".split())
 _SPACE = re.compile(r"\s+")
 CONTENT = frozenset({"article", "main"})
 #: A new block of these closes an open paragraph.
@@ -83,11 +93,23 @@ def _marked(value: str, inside: bool) -> bool:
     return False
 
 
+def _boilerplate(name: str, key: str, value: str, inside: bool) -> bool:
+    """Whether an attribute marks its element as boilerplate."""
+    if key == "role":
+        return _marked(value, inside)
+    if inside and name in _PARTS:
+        return key in ("id", "class") and any(_REPLIES.fullmatch(x) for x in value.split())
+    if key == "id":
+        token = _CAMEL.sub("-", value.strip())
+        return name not in _PARTS - {"section"} and not token.lower().startswith(_SWITCH) and bool(_ID_MARKS.fullmatch(token)) and _marked(value, inside)
+    return key in ("class", "aria-label") and _marked(value, inside)
+
+
 class Line:
-    __slots__ = ("text", "links", "inside")
+    __slots__ = ("text", "links", "inside", "node")
 
-    def __init__(self, text: str, links: int, inside: bool):
-        self.text, self.links, self.inside = text, links, inside
+    def __init__(self, text: str, links: int, inside: bool, node: int = 0):
+        self.text, self.links, self.inside, self.node = text, links, inside, node
 
 
 class Ends:
@@ -120,12 +142,16 @@ class Ends:
         return out
 
 
-def lines_of(page: str) -> tuple[list[Line], bool]:
-    """The page's lines, boilerplate as empty lines, and whether the page marks its content."""
+def lines_of(page: str) -> tuple[list[Line], bool, list[int]]:
+    """The page's lines, boilerplate as empty lines, whether the page marks its content, and the parent of each container.
+
+    Container 0 is the page; a container has a higher number than its parent.
+    """
     out: list[Line] = []
     parts: list[str] = []
     links = depth_a = 0
-    stack: list[tuple[str, bool, bool]] = []  # (name, boilerplate, content)
+    stack: list[tuple[str, bool, bool, int]] = []  # (name, boilerplate, content, the container around)
+    parents, node = [0], 0
     skip = inside = 0
     marked = False
 
@@ -134,13 +160,13 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
         text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append(Line(text, links, inside > 0))
+            out.append(Line(text, links, inside > 0, node))
         links = 0
 
     def leave(n: int) -> None:
-        nonlocal skip, inside, depth_a
+        nonlocal skip, inside, depth_a, node
         while len(stack) > n:
-            name, b, c = stack.pop()
+            name, b, c, node = stack.pop()
             skip -= b
             inside -= c
             depth_a -= name == "a"
@@ -169,7 +195,8 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
                 continue
             head = False
         if not m["close"] and (name == "head" or name != "title" and name in _RAW or name in _NESTED):
-            flush()
+            if name not in INLINE:
+                flush()
             if name == "head":
                 head = True
             elif not (name in _FOREIGN and m["attrs"].endswith("/")):
@@ -210,13 +237,12 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
         boilerplate = name in BOILERPLATE or (name == "header" and not inside)
         if attrs and not boilerplate:
             values = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs)]
+            named = dict(reversed(values))
             if any(k == "role" and v.lower() == "main" or k == "itemprop" and v.lower() == "articlebody" for k, v in values):
                 content = True
-            elif not content and name not in ("html", "body") and any(
-                k in ("class", "id", "role", "aria-label") and _marked(v, inside > 0) for k, v in values
-            ):
+            elif not content and name not in ("html", "body") and any(_boilerplate(name, k, v, inside > 0) for k, v in values):
                 boilerplate = True
-            if _HIDDEN.search(attrs):
+            if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(named.get("style", "")):
                 boilerplate = True
         if attrs.endswith("/") and not inline:
             continue
@@ -224,14 +250,17 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             flush()
             out.append(Line("", 0, False))
         marked |= content and not skip
-        stack.append((name, boilerplate, content))
+        stack.append((name, boilerplate, content, node))
+        if name in _CONTAINERS:
+            parents.append(node)
+            node = len(parents) - 1
         skip += boilerplate
         inside += content
         depth_a += name == "a"
     if at < len(page) and not skip:
         parts.append(page[at:])
     flush()
-    return out, marked
+    return out, marked, parents
 
 
 def regions(lengths: np.ndarray, window: int = 3) -> list[tuple[int, int]]:
@@ -245,10 +274,29 @@ def regions(lengths: np.ndarray, window: int = 3) -> list[tuple[int, int]]:
     return list(zip(surge.tolist(), dive.tolist(), strict=True))
 
 
+def in_container(lines: list[Line], lengths: np.ndarray, parents: list[int], a: int, b: int) -> np.ndarray:
+    """Whether each line lies in the container of the lines [a, b); in the page itself only what no container holds."""
+    text, count = [0] * len(parents), [0] * len(parents)
+    for i, x in enumerate(lines):
+        if lengths[i]:
+            count[x.node] += 1
+            text[x.node] += int(lengths[i]) * (a <= i < b)
+    half = sum(text) / 2
+    for k in range(len(parents) - 1, 0, -1):
+        text[parents[k]] += text[k]
+        count[parents[k]] += count[k]
+    # Containers with over half of a text hold each other, the innermost has the highest number.
+    best = max((k for k in range(1, len(parents)) if text[k] > half and count[k] > 1), default=0)
+    within = [k == best for k in range(len(parents))]
+    for k in range(best + 1, len(parents)):
+        within[k] = best > 0 and within[parents[k]]
+    return np.array([within[x.node] for x in lines], bool)
+
+
 def main_text(page: str | None, window: int = 3, share: float = 0.25, max_link_share: float = 0.5) -> str:
     if not page:
         return ""
-    lines, marked = lines_of(page)
+    lines, marked, parents = lines_of(page)
     if marked:
         lengths = np.array([len(x.text) if x.inside else 0 for x in lines], np.int64)
         kept = regions(lengths, window)
@@ -259,7 +307,8 @@ def main_text(page: str | None, window: int = 3, share: float = 0.25, max_link_s
     weight = [int(lengths[a:b].sum()) for a, b in found]
     if not weight:
         return ""
-    keep = [lines[i].text for (a, b), w in zip(found, weight, strict=True) if w >= share * max(weight) for i in range(a, b) if lengths[i]]
+    beside = in_container(lines, lengths, parents, *found[int(np.argmax(weight))]) & (lengths > 0)
+    keep = [lines[i].text for (a, b), w in zip(found, weight, strict=True) if w >= share * max(weight) or beside[a:b].any() for i in range(a, b) if lengths[i]]
     return " ".join(keep)
 
 
