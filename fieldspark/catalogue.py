@@ -466,6 +466,13 @@ def nugget(spark, d):
     return v.agg(R6(F.regr_intercept("gamma", "dist")).alias("nugget"))
 
 
+@query("nugget_points")
+def nugget_points(spark, d):
+    """The measurement error of all points, without the operator's thinning."""
+    sd, how = V.measurement_error(points(spark, d), ("x", "y"), "z", sample=None)
+    return spark.createDataFrame([(round(sd, 6), how)], "sd double, how string")
+
+
 # Gaussian model ---------------------------------------------------------------------------------------------------
 
 _S = "CASE WHEN sqrt((x - 25) * (x - 25) + (y - 50) * (y - 50)) < 60 THEN power(1 - ((x - 25) * (x - 25) + (y - 50) * (y - 50)) / 3600, 2) ELSE 0 END"
