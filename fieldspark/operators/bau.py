@@ -7,10 +7,11 @@ Column expression. Centre i of an axis is ``origin + i * size``, and its cell is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,16 +112,41 @@ def sphere_grid(cellsize: Sequence[float], lims: tuple[tuple[float, float], tupl
     return Grid(*(tuple(a[i] for a in axes) for i in range(3)))
 
 
+def extreme_points(points: DataFrame, names: Sequence[str], directions: int = 64) -> np.ndarray:
+    """The furthest point in each of so many directions, of equally far ones the least: vertices of the data's convex hull.
+
+    A task keeps one point for each direction while its batches pass, and sends those; the rest is a small aggregate.
+    """
+    x, y = names
+    angles = np.linspace(0, 2 * np.pi, directions, endpoint=False)
+    ways = np.column_stack([np.cos(angles), np.sin(angles)])
+
+    def furthest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, best = np.full(directions, -np.inf), np.zeros((directions, 2))
+        for b in it:
+            if b.num_rows:
+                p = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+                p = p[np.lexsort((p[:, 1], p[:, 0]))]
+                reach = ways @ p.T
+                at = reach.argmax(axis=1)
+                top, p = reach[np.arange(directions), at], p[at]
+                better = (top > far) | (top == far) & ((p[:, 0] < best[:, 0]) | (p[:, 0] == best[:, 0]) & (p[:, 1] < best[:, 1]))
+                far, best = np.where(better, top, far), np.where(better[:, None], p, best)
+        if np.isfinite(far).all():
+            yield pa.RecordBatch.from_arrays([pa.array(range(directions), pa.int32()), pa.array(-far), pa.array(best[:, 0]), pa.array(best[:, 1])], names=["way", "near", "x", "y"])
+
+    p = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("abs(x) < 'Infinity' AND abs(y) < 'Infinity'")
+    found = p.mapInArrow(furthest, "way int, near double, x double, y double").groupBy("way").agg(F.min(F.struct("near", "x", "y")).alias("p"))
+    return np.array(sorted((r.p.x, r.p.y) for r in found.collect()), float).reshape(-1, 2)
+
+
 def hull_filter(cells: DataFrame, grid: Grid, points: DataFrame, names: Sequence[str], convex: float = -0.05) -> DataFrame:
     """Cells whose centre lies in the data's pushed hull, or that hold a hull vertex or a point.
 
-    The hull comes from extreme points only: each of 64 directions keeps its maximum, an aggregate of fixed size.
+    The hull comes from extreme points only, so what the driver sees has a fixed size.
     """
     x, y = names
-    angles = np.linspace(0, 2 * np.pi, 64, endpoint=False)
-    best = [F.max_by(F.struct(F.col(x).cast("double"), F.col(y).cast("double")), F.col(x) * float(np.cos(a)) + F.col(y) * float(np.sin(a))) for a in angles]
-    found = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(*best).first()
-    extreme = np.array([list(p) for p in found if p is not None], float)
+    extreme = extreme_points(points, names)
     hull = pushed_hull(extreme, convex)
     ring = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in hull])
     vertices = [grid_key(grid, v) for v in hull]
