@@ -39,9 +39,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows that Arrow hands to Python at once, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches(spark: SparkSession, most: int = 1 << 22) -> None:
+    """Bound the bytes that Arrow hands to Python at once, as texts can be long; the rows in a batch stay as they are set.
+
+    Only a bound on memory: it is never raised, and no result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "")
+    if not (now.isdigit() and 0 < int(now) <= most):
+        spark.conf.set(key, str(most))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """The rows as one column ``row``, so that no name of theirs clashes with a helper column."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def words_array(text: Column) -> Column:

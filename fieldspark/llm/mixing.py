@@ -4,8 +4,11 @@ Targets: weights go to sources in code-point order (null last); the wanted total
 at ``max_repeat`` times its source's size, and the excess is shared again by weight until none is above (water filling,
 solved in closed form over the table of sources). Schedule: slot j has the golden-ratio point frac(j / phi) in 31-bit
 fixed point, mapped through the cumulative targets to a source; slots are ranked inside each source. Each source's
-documents, shuffled by hash and laid end to end again and again, are cut into as many equal-token blocks as the source
-has slots, and the k-th slot takes the k-th block. Taken words equal the rounded target exactly.
+documents, shuffled by hash and laid end to end again and again, are cut into blocks of equal length, and a source's
+k-th slot takes its k-th block. So the slots decide how many words a source gives: its slots times the block, at most
+``max_repeat`` times its size. The points spread evenly, so this is within a few blocks of the target; blocks are
+short enough for 256 of them to fit in the smallest target, unless that would take over 2^18 slots. A source so small
+that no point falls on it gives its rounded target in a slot after all others.
 
 The table of sources is the only one held whole in a task. Documents and slots are ranked in two levels (inside
 buckets, then over bucket totals), so a source with a third of all rows is spread over tasks. Only ids and sizes are
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table, with_running_total, word_count
+from .common import boxed, stash, table, with_running_total, word_count
 
 POINT_BITS = 31
 #: round(2^31 / golden ratio), made odd.
@@ -33,7 +36,7 @@ SALTS = 64
 
 @dataclass(frozen=True)
 class Mix:
-    """sources: one row each with target and take; pieces: (slot, source, row key, word range), null slot where a row is not taken."""
+    """sources: one row each with target, wanted and most words; pieces: (slot, source, row key, word range), null slot where a row is not taken."""
 
     sources: DataFrame
     pieces: DataFrame
@@ -70,8 +73,13 @@ def source_targets(
     )
     shared = F.col("weight") * (F.col("wanted") - F.col("capped_sum")) / F.when(F.col("free_weight") > 0, F.col("free_weight"))
     s = s.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(shared))
-    s = s.withColumn("take", F.floor(F.col("target") + 0.5).cast("long"))
-    return s.select("src", "source", "source_size", "n_docs", "weight", "target", "take")
+    s = s.withColumns({"want": F.floor(F.col("target") + 0.5).cast("long"), "most": F.col("cap").cast("long")})
+    return s.select("src", "source", "source_size", "n_docs", "weight", "target", "want", "most")
+
+
+def block_length(total: int, least: int, longest: int = 1024) -> int:
+    """Words in a block: 256 blocks in the smallest target, at most 2^18 blocks in all, never over ``longest``."""
+    return max(1, min(longest, max(least // 256, total >> 18)))
 
 
 def slot_schedule(sources: DataFrame, n_slots: int, chunk: int = 4096) -> DataFrame:
@@ -79,10 +87,10 @@ def slot_schedule(sources: DataFrame, n_slots: int, chunk: int = 4096) -> DataFr
     spark = sources.sparkSession
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     scale = float(1 << POINT_BITS)
-    total = F.sum("take").over(Window.partitionBy(F.lit(0))).cast("double")
-    upto = F.sum("take").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-    s = sources.filter("take > 0").withColumns(
-        {"hi": F.floor(upto / total * scale).cast("long"), "lo": F.floor((upto - F.col("take")) / total * scale).cast("long")}
+    total = F.sum("want").over(Window.partitionBy(F.lit(0))).cast("double")
+    upto = F.sum("want").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    s = sources.filter("want > 0").withColumns(
+        {"hi": F.floor(upto / total * scale).cast("long"), "lo": F.floor((upto - F.col("want")) / total * scale).cast("long")}
     )
     width = (1 << POINT_BITS) // BINS
     s = s.filter("hi > lo").select(
@@ -95,17 +103,22 @@ def slot_schedule(sources: DataFrame, n_slots: int, chunk: int = 4096) -> DataFr
     return with_running_total(hit, ["src"], "chunk", [F.col("slot")], F.lit(1), "rank").select("slot", "src", "rank")
 
 
-def mix(sized: DataFrame, block_words: int = 1024, bucket_rows: int = 2048, **targets) -> Mix:
+def mix(sized: DataFrame, longest_block: int = 1024, bucket_rows: int = 2048, **targets) -> Mix:
     """``sized`` has doc_id, source, size and key (its shuffle order); it should be a written table, as it is read several times."""
     sized = sized.withColumn("src", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
     sources = stash(source_targets(sized, **targets), "mix-sources")
-    total = sources.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
-    n_slots = max(1, -(-int(total) // block_words))
+    total, least = sources.filter("want > 0").agg(F.coalesce(F.sum("want"), F.lit(0)), F.coalesce(F.min("want"), F.lit(0))).first()
+    block = block_length(int(total), int(least), longest_block)
+    n_slots = max(1, -(-int(total) // block))
     slots = stash(slot_schedule(sources, n_slots), "mix-slots")
     per = slots.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    # At least one block for each source that is taken from, and at least one word for each block.
-    plan = sources.join(per, "src", "left").withColumn("n", F.greatest(F.lit(1), F.least(F.coalesce("n", F.lit(0)), "take")))
-    plan = plan.withColumns({"q": F.expr("take div n"), "r": F.expr("take % n"), "buckets": F.expr(f"1 + n_docs div {bucket_rows}")})
+    plan = sources.join(per, "src", "left").withColumns(
+        {
+            "take": F.expr(f"CASE WHEN n > 0 THEN least(n * {block}, most) ELSE least(want, most) END"),
+            "block": F.expr(f"CASE WHEN n > 0 THEN {block}L ELSE greatest(want, 1L) END"),
+            "buckets": F.expr(f"1 + n_docs div {bucket_rows}"),
+        }
+    )
     # The largest source may hold a third of all rows: the join with the table of sources is salted.
     plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = sized.withColumn("salt", F.pmod(F.conv(F.substring("key", 9, 4), 16, 10).cast("int"), F.lit(SALTS)))
@@ -117,11 +130,10 @@ def mix(sized: DataFrame, block_words: int = 1024, bucket_rows: int = 2048, **ta
     rows = with_running_total(rows, ["src"], "bucket", [F.col("rn")], F.col("size"), "at")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr("cast((take - 1) div greatest(source_size, 1L) as int)")))))
     rows = rows.withColumn("a", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("b", F.least(F.col("a") + F.col("size"), "take"))
-    block_of = "CASE WHEN {x} < r * (q + 1) THEN {x} div (q + 1) ELSE r + ({x} - r * (q + 1)) div greatest(q, 1L) END"
-    blocks = F.when(F.col("b") > F.col("a"), F.sequence(F.expr(block_of.format(x="a")), F.expr(block_of.format(x="(b - 1)"))))
+    blocks = F.when(F.col("b") > F.col("a"), F.sequence(F.expr("a div block"), F.expr("(b - 1) div block")))
     rows = rows.withColumn("rank", F.explode_outer(blocks))
-    start = F.greatest("a", F.expr("rank * q + least(rank, r)"))
-    stop = F.least("b", F.expr("(rank + 1) * q + least(rank + 1, r)"))
+    start = F.greatest("a", F.expr("rank * block"))
+    stop = F.least("b", F.expr("(rank + 1) * block"))
     rows = rows.withColumns({"from_word": start - F.col("a"), "n_taken": F.when(F.col("rank").isNotNull(), stop - start).otherwise(0)})
     rows = rows.join(slots, ["src", "rank"], "left")
     # A source so small that no point fell on it plays after all others.
@@ -137,37 +149,42 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def takes(mixed: Mix) -> DataFrame:
-    """One row for each input row: the words that the mix takes of it."""
+    """One row for each input row: the words that the mix takes of it, in how many pieces, and the first one's slot."""
     keys = ["src", "bucket", "rn", "doc_id", "key", "size", "source_size", "target"]
-    return mixed.pieces.groupBy(*keys).agg(F.sum("n_taken").alias("taken"), F.count("slot").alias("n_pieces"))
+    return mixed.pieces.groupBy(*keys).agg(F.sum("n_taken").alias("taken"), F.count("slot").alias("n_pieces"), F.min("slot").alias("first_slot"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stash(sized_documents(table(spark, sf_dir, "documents")), "mix-sized")
-    return takes(mix(sized)).select("doc_id", "size", "source_size", "target", "taken")
+    return takes(mix(sized)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; a last partial copy holds its first words, single-spaced.
 
-    A document of which nothing is taken is absent. ``n_chars`` follows the text.
+    Rows of a partition follow the order of their first slots; the next stage deals them anew. A document of which
+    nothing is taken is absent. ``n_chars`` follows the text. Rows are told apart by all their columns: those that are
+    equal in id and text only keep their own source and other columns.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_key", order_key(F.col("doc_id"), F.col("text")))
-    sized = stash(keyed.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col("_key").alias("key")), "mix-sized")
-    # Rows that are equal in key share one text row; how many of them take how much is counted, not listed.
-    counts = takes(mix(sized)).filter("taken > 0").groupBy("key", "size", "taken").agg(F.count(F.lit(1)).alias("n"))
+    field = lambda c: F.col(f"row.`{c}`")
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[field(c).alias(f"c{i}") for i, c in enumerate(columns) if c not in ("doc_id", "text")]))
+    keyed = boxed(docs).withColumn("key", F.md5(F.concat(order_key(field("doc_id"), field("text")), rest)))
+    sized = stash(keyed.select(field("doc_id").alias("doc_id"), field("source").alias("source"), word_count(field("text")).alias("size"), "key"), "mix-sized")
+    # Rows that are equal in all columns share one text row; how many of them take how much is counted, not listed.
+    counts = takes(mix(sized)).filter("taken > 0").groupBy("key", "size", "taken").agg(F.count(F.lit(1)).alias("n"), F.min("first_slot").alias("slot"))
     counts = counts.withColumns({"whole": F.expr("taken div size"), "part": F.expr("taken % size")})
-    wholes = counts.select(F.col("key").alias("_key"), (F.col("whole") * F.col("n")).alias("_copies"), F.lit(0).cast("long").alias("_part"))
-    parts = counts.filter("part > 0").select(F.col("key").alias("_key"), F.col("n").alias("_copies"), F.col("part").alias("_part"))
-    plan = wholes.unionByName(parts).groupBy("_key", "_part").agg(F.sum("_copies").alias("_copies")).filter("_copies > 0")
-    one = keyed.groupBy("_key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("_doc"))
-    out = one.join(plan, "_key").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_doc.*", "_part")
-    cut = F.expr(r"array_join(slice(split(btrim(text, ' \t\n\u000B\u000C\r'), '[\\x20\\x09-\\x0D]+'), 1, cast(_part as int)), ' ')")
-    out = out.withColumn("text", F.when(F.col("_part") > 0, cut).otherwise(F.col("text")))
+    wholes = counts.select("key", (F.col("whole") * F.col("n")).alias("copies"), F.lit(0).cast("long").alias("part"), "slot")
+    parts = counts.filter("part > 0").select("key", F.col("n").alias("copies"), "part", "slot")
+    plan = wholes.unionByName(parts).groupBy("key", "part").agg(F.sum("copies").alias("copies"), F.min("slot").alias("slot")).filter("copies > 0")
+    one = keyed.groupBy("key").agg(F.first("row").alias("row"))
+    out = one.join(plan, "key").sortWithinPartitions("slot", "key", "part").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    cut = F.expr(r"array_join(slice(split(btrim(row.text, ' \t\n\u000B\u000C\r'), '[\\x20\\x09-\\x0D]+'), 1, cast(part as int)), ' ')")
+    partial = F.col("part") > 0
+    changed = {"text": F.when(partial, cut).otherwise(field("text"))}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        changed["n_chars"] = F.when(partial, F.length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(field("n_chars"))
+    return out.select(*[changed.get(c, field(c)).alias(c) for c in columns])
 
 
 ORACLE_SQL = r"""
@@ -186,13 +203,30 @@ s3 AS (SELECT *, cap * weight_from < (wanted - cap_before) * weight AS capped FR
 s4 AS (
   SELECT *, sum(CASE WHEN capped THEN cap ELSE 0.0::DOUBLE END) OVER () AS capped_sum,
          sum(CASE WHEN capped THEN 0.0::DOUBLE ELSE weight END) OVER () AS free_weight FROM s3),
+s5 AS (
+  SELECT source, source_size, cap::BIGINT AS most, CASE WHEN capped THEN cap ELSE weight * (wanted - capped_sum) / free_weight END AS target FROM s4),
+s6 AS (SELECT *, floor(target + 0.5)::BIGINT AS want FROM s5),
+t AS (SELECT sum(want)::BIGINT AS total, greatest(1, least(1024, greatest(min(want) // 256, sum(want)::BIGINT // 262144)))::BIGINT AS block FROM s6 WHERE want > 0),
+s7 AS (
+  SELECT *, sum(want) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM s6 WHERE want > 0),
+s8 AS (
+  SELECT *, floor(upto::DOUBLE / total::DOUBLE * 2147483648.0::DOUBLE)::BIGINT AS hi, floor((upto - want)::DOUBLE / total::DOUBLE * 2147483648.0::DOUBLE)::BIGINT AS lo FROM s7, t),
+j AS (SELECT unnest(generate_series(1, (total + block - 1) // block)) AS slot FROM t),
+k AS (
+  SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, ((slot % 2147483648) * 1327217885) % 2147483648 AS point FROM j) AS p JOIN s8 ON lo <= point AND point < hi),
+n AS (SELECT source, count(*) AS n FROM k GROUP BY source),
 s AS (
-  SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * (wanted - capped_sum) / free_weight END AS target FROM s4),
+  SELECT s6.*, n, CASE WHEN n > 0 THEN least(n * block, most) ELSE least(want, most) END AS take, CASE WHEN n > 0 THEN block ELSE greatest(want, 1) END AS block,
+         (total + block - 1) // block + 1 AS last_slot
+  FROM s6 LEFT JOIN n ON s6.source IS NOT DISTINCT FROM n.source LEFT JOIN t ON true),
 p AS (
-  SELECT d.doc_id, d.size, s.source_size, s.target, floor(s.target + 0.5)::BIGINT AS take,
+  SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.take, s.block, s.last_slot,
          (coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pos
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(size, take % source_size - pos)) END::BIGINT AS taken
-FROM p
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+u AS (
+  SELECT *, (CASE WHEN source_size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(size, take % source_size - pos)) END)::BIGINT AS taken
+  FROM p)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN coalesce(slot, last_slot) END::BIGINT AS first_slot
+FROM u LEFT JOIN k ON u.source IS NOT DISTINCT FROM k.source AND u.pos // u.block = k.rank AND u.taken > 0
 """

@@ -133,7 +133,7 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(spark: SparkSession, path: str, shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files through the index."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    batches(spark)
     data = spark.read.schema(_SHARD).parquet(path).select("part", "seq", "width", "payload", "keys", "ends", "mph", "slots")
     starts = shards.select("part", "seq", "start")
     return data.join(F.broadcast(starts) if _few(starts) else starts, ["part", "seq"]).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
