@@ -45,8 +45,9 @@ def batches(spark: SparkSession, most: int = 1 << 22) -> None:
     Only a bound on memory: it is never raised, and no result depends on it.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "")
-    if not (now.isdigit() and 0 < int(now) <= most):
+    now = spark.conf.get(key).lower().removesuffix("b")
+    # A value with another unit is the user's own.
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
         spark.conf.set(key, str(most))
 
 

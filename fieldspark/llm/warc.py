@@ -7,15 +7,18 @@ others revisit it without body.
 
 Index: one line for each capture, "key timestamp {json}", its key the URL with reversed host; lines are sorted over all
 captures and cut into blocks of ``lines`` lines, each compressed (level one); the first key of every block forms the
-sparse directory (level two). A lookup binary-searches the directory, decompresses one block, binary-searches its
-lines, then reads the record's range.
+sparse directory (level two), a table with one entry for each block. Blocks lie in parts of the key order; the first
+keys of parts, one entry for 64 blocks and at most 2^16 in all, are what tasks and driver hold. A lookup goes by binary
+search from the parts to the directory of one part to a block, decompresses it, binary-searches its lines, and reads
+the records' ranges. The query finds every page that way by its URL, in batches of one part's keys.
 
 Equal payloads may be a third of all pages: the least page_id of each is found by a map-side aggregate and joined back
 under salted keys. Page contents are shuffled once at most.
 
 Defined results: null html: empty payload; null url: key "-". A null page_id never is the one revisited unless all
-are null. Rows that repeat a page_id and payload: one of them is the response, chosen by url. Empty table: empty
-result. Extra columns are not read.
+are null. Rows that repeat a page_id and payload: the one with the least url (null as empty) is the response; of rows
+equal in all three exactly one is, the others revisit its page_id. Empty table: empty result. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, fresh_path, stash, table
@@ -47,11 +50,16 @@ def surt(url: str | None) -> str:
         u = urlsplit(url.strip())
         host, port = u.hostname or "", u.port
     except ValueError:
-        return url.strip().lower().replace(" ", "%20")
+        return _quoted(url.strip().lower())
     host = host.removeprefix("www.")
     port = f":{port}" if port and port not in (80, 443) else ""
     path = (u.path or "/") + (f"?{u.query}" if u.query else "")
-    return (",".join(reversed(host.split("."))) + port + ")" + path).lower().replace(" ", "%20")
+    return _quoted((",".join(reversed(host.split("."))) + port + ")" + path).lower())
+
+
+def _quoted(key: str) -> str:
+    """No space or line break ends a key or a line."""
+    return key.replace(" ", "%20").replace("\n", "%0a").replace("\r", "%0d")
 
 
 def digest(payload: bytes) -> str:
@@ -103,12 +111,26 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     p = p.withColumns({"sha": F.sha1(F.encode("html", "UTF-8")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))})
     small = p.filter(F.octet_length("html") >= min_bytes).select("sha", F.struct(F.col("page_id").isNull().alias("z"), "page_id", F.coalesce("url", F.lit("")).alias("url")).alias("x"))
-    first = small.groupBy("sha").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select("sha", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"), "x")
-    out = p.join(first, ["sha", "salt"], "left")
-    revisit = F.col("x").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("x.page_id")) & (F.coalesce("url", F.lit("")) == F.col("x.url")))
-    out = out.withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
-    return out.withColumn("refers_to", F.when(revisit, F.col("x.page_id"))).drop("x", "salt")
+    every = small.groupBy("sha", "x").agg(F.count(F.lit(1)).alias("k"))
+    first = every.groupBy("sha").agg(F.min(F.struct("x", "k")).alias("m"), F.sum("k").alias("n")).filter("n > 1")
+    first = stash(first.select("sha", F.col("m.x").alias("x"), F.col("m.k").alias("k")), "warc-first")
+    salted = first.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    out = p.join(salted, ["sha", "salt"], "left")
+    least = F.col("page_id").eqNullSafe(F.col("x.page_id")) & (F.coalesce("url", F.lit("")) == F.col("x.url"))
+    revisit = F.col("x").isNotNull() & ~(least & (F.col("k") == 1))
+    out = out.withColumns({"kind": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("x.page_id"))})
+    tied = first.filter("k > 1")
+    if tied.isEmpty():
+        return out.drop("x", "k", "salt")
+    # Rows equal in all columns are one row and a count: the first stays a response, the others are dealt by salt.
+    rest = out.filter(F.col("x").isNull() | (F.col("k") == 1) | ~least).drop("x", "k", "salt")
+    ties = p.join(F.broadcast(tied) if tied.count() <= 10_000 else tied, "sha").filter(least)
+    ties = ties.groupBy("sha", "page_id").agg(F.min("url").alias("url"), F.first("html").alias("html"), F.first("k").alias("k"))
+    ties = ties.withColumn("salt", F.explode(F.expr(f"sequence(0L, least(k, {SALTS}L) - 1)"))).repartition("sha", "salt")
+    ties = ties.withColumn("i", F.explode(F.expr(f"sequence(salt, k - 1, {SALTS}L)")))
+    again = F.col("i") > 0
+    ties = ties.withColumns({"kind": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("page_id"))})
+    return rest.unionByName(ties.select(*rest.columns))
 
 
 def _write(block_bytes: int):
@@ -178,93 +200,132 @@ def _index(lines: int):
     return run
 
 
+PARTS = 1 << 16
+
+
 def index(lines: DataFrame, path: str, block_lines: int = 1000) -> None:
     """Sort index lines over all captures and write them in compressed blocks."""
-    n = max(1, lines.count() // (64 * block_lines))
-    parts = max(n, min(lines.sparkSession.sparkContext.defaultParallelism, 8))
-    ordered = lines.repartitionByRange(parts, "line").sortWithinPartitions("line")
+    parts = max(lines.count() // (64 * block_lines), min(lines.sparkSession.sparkContext.defaultParallelism, 8), 1)
+    ordered = lines.repartitionByRange(min(parts, PARTS), "line").sortWithinPartitions("line")
     ordered.select(F.spark_partition_id().alias("part"), "line").mapInArrow(_index(block_lines), _INDEX).write.parquet(path)
 
 
-def directory(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """The sparse directory: first line, part and number of every block, in order. One entry for ``block_lines`` captures."""
-    return [tuple(r) for r in spark.read.schema(_INDEX).parquet(path).select("first", "part", "block").orderBy("part", "block").collect()]
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """The sparse directory, (first, part, block): the first line of every block."""
+    return spark.read.schema(_INDEX).parquet(path).select("first", "part", "block")
+
+
+def part_firsts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """First line and number of every part, in order: at most ``PARTS``."""
+    return [tuple(r) for r in directory(spark, path).groupBy("part").agg(F.min("first").alias("first")).select("first", "part").orderBy("first").collect()]
+
+
+def matches(firsts: list[str], key: str) -> range:
+    """Places of the sorted blocks, given by their first lines, that can hold a line starting with ``key``."""
+    lo = max(0, bisect.bisect_left(firsts, key) - 1)
+    hi = lo
+    while hi < len(firsts) and (firsts[hi] < key or firsts[hi].startswith(key)):
+        hi += 1
+    return range(lo, hi)
+
+
+def _parts(tops: list[tuple[str, int]]):
+    """Keys of URLs and the parts that can hold them."""
+    firsts = [x[0] for x in tops]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(tops[i][1], key) for key in {surt(u) + " " for u in b.column(0).to_pylist()} for i in matches(firsts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["part", "key"])
+
+    return run
+
+
+_RANGE = "archive int, block int, offset int, length int"
 
 
-def lookup(spark: SparkSession, archive: str, index_path: str, url: str, sparse: list[tuple[str, int, int]] | None = None) -> list[tuple[dict[str, str], bytes]]:
-    """Captures of a URL: directory, one or two blocks, one range each."""
-    sparse = sparse if sparse is not None else directory(spark, index_path)
-    key = surt(url) + " "
-    i = max(0, bisect.bisect_left([x[0] for x in sparse], key) - 1)
+def _find(keys: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Ranges of the captures of ``keys`` in one part: its directory, a block, its lines, each by binary search."""
+    blocks = blocks.sort_by("block")
+    firsts, data = blocks.column("first").to_pylist(), blocks.column("data")
+    at, lines = -1, []
+    found = []
+    for key in sorted(set(keys.column("key").to_pylist())):
+        for i in matches(firsts, key):
+            if i != at:
+                at, lines = i, zlib.decompress(data[i].as_py()).decode("utf-8", "surrogatepass").split("\n")
+            j = bisect.bisect_left(lines, key)
+            while j < len(lines) and lines[j].startswith(key):
+                found.append(json.loads(lines[j].split(" ", 2)[2]))
+                j += 1
+    return pa.table({n: pa.array([x[n] for x in found], pa.int32()) for n in ("archive", "block", "offset", "length")})
+
+
+def locate(urls: DataFrame, index_path: str) -> DataFrame:
+    """(archive, block, offset, length) of every capture of the URLs in the first column, each once."""
+    spark = urls.sparkSession
+    batches(spark)
+    keys = urls.distinct().mapInArrow(_parts(part_firsts(spark, index_path)), "part int, key string").distinct()
+    blocks = spark.read.schema(_INDEX).parquet(index_path).select("part", "block", "first", "data")
+    return keys.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_find, _RANGE)
+
+
+def lookup(spark: SparkSession, archive: str, index_path: str, url: str) -> list[tuple[dict[str, str], bytes]]:
+    """Captures of one URL: parts, directory, block, range."""
+    firsts = part_firsts(spark, index_path)
+    parts = [firsts[i][1] for i in matches([x[0] for x in firsts], surt(url) + " ")]
+    blocks = spark.read.schema(_INDEX).parquet(index_path).filter(F.col("part").isin(parts))
+    keys = spark.createDataFrame([(p, surt(url) + " ") for p in parts], "part int, key string")
+    ranges = keys.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_find, _RANGE).collect()
     out = []
-    while i < len(sparse) and (sparse[i][0] < key or sparse[i][0].startswith(key)):
-        _, part, block = sparse[i]
-        raw = spark.read.schema(_INDEX).parquet(index_path).filter((F.col("part") == part) & (F.col("block") == block)).first()["data"]
-        lines = zlib.decompress(raw).decode("utf-8", "surrogatepass").split("\n")
-        at = bisect.bisect_left(lines, key)
-        while at < len(lines) and lines[at].startswith(key):
-            w = json.loads(lines[at].split(" ", 2)[2])
-            row = spark.read.schema(_ARCHIVE).parquet(archive).filter((F.col("archive") == w["archive"]) & (F.col("block") == w["block"]))
-            out.append(parse(row.select(F.substring("data", w["offset"] + 1, w["length"]).alias("m")).first()["m"]))
-            at += 1
-        i += 1
+    for w in sorted(map(tuple, ranges)):
+        row = spark.read.schema(_ARCHIVE).parquet(archive).filter((F.col("archive") == w[0]) & (F.col("block") == w[1]))
+        out.append(parse(row.select(F.substring("data", w[2] + 1, w[3]).alias("m")).first()["m"]))
     return out
 
 
-def _expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for raw in b.column("data"):
-            w = [json.loads(x.split(" ", 2)[2]) for x in zlib.decompress(raw.as_py()).decode("utf-8", "surrogatepass").split("\n")]
-            names = ["archive", "block", "offset", "length"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in w], pa.int32()) for n in names], names=names)
+_DIGEST = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-_DIGEST = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+def _read(data: pa.Table, ranges: pa.Table) -> pa.Table:
+    """The records of one archive block at the ranges."""
+    rows = []
+    if len(ranges):
+        raw = memoryview(data.column("data")[0].as_py())
+        for at, n in sorted(zip(ranges.column("offset").to_pylist(), ranges.column("length").to_pylist(), strict=True)):
+            f, payload = parse(raw[at : at + n])
+            sha = f["WARC-Payload-Digest"].removeprefix("sha1:")
+            kind = f["WARC-Type"]
+            size = int(f["X-Payload-Length"])
+            if kind == "response" and (len(payload) != size or digest(payload) != sha):
+                raise ValueError("a record does not hold its payload")
+            rows.append((_page(f["WARC-Record-ID"]), size, sha, kind, _page(f["WARC-Refers-To"]) if kind == "revisit" else None))
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    return pa.table({x.split()[0]: pa.array(c, t) for x, c, t in zip(_DIGEST.split(", "), cols, types, strict=True)})
 
 
-def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        rows = []
-        for data, ranges in zip(b.column("data"), b.column("ranges").to_pylist(), strict=True):
-            raw = memoryview(data.as_py())
-            for r in ranges:
-                f, payload = parse(raw[r["offset"] : r["offset"] + r["length"]])
-                sha = f["WARC-Payload-Digest"].removeprefix("sha1:")
-                kind = f["WARC-Type"]
-                n = int(f["X-Payload-Length"])
-                if kind == "response" and (len(payload) != n or digest(payload) != sha):
-                    raise ValueError("a record does not hold its payload")
-                rows.append((_page(f["WARC-Record-ID"]), n, sha, kind, _page(f["WARC-Refers-To"]) if kind == "revisit" else None))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _DIGEST.split(", ")])
-
-
-def read_back(spark: SparkSession, archive: str, index_path: str) -> DataFrame:
-    """Every capture through the index: blocks of lines, then ranges of archive blocks."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    ranges = spark.read.schema(_INDEX).parquet(index_path).select("data").mapInArrow(_expand, "archive int, block int, offset int, length int")
-    # A block holds a bounded number of bytes, so of records.
-    ranges = ranges.groupBy("archive", "block").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    data = spark.read.schema(_ARCHIVE).parquet(archive).select("archive", "block", "data")
-    # Both sides are dealt by block at every size: the ranges of a large archive are no small table.
-    return data.join(ranges.hint("merge"), ["archive", "block"]).select("data", "ranges").mapInArrow(_read, _DIGEST)
+def read_back(archive: str, ranges: DataFrame) -> DataFrame:
+    """The captures at ``ranges``; both sides are dealt by archive block, so a task holds one block at a time."""
+    data = ranges.sparkSession.read.schema(_ARCHIVE).parquet(archive).select("archive", "block", "data")
+    return data.groupBy("archive", "block").cogroup(ranges.groupBy("archive", "block")).applyInArrow(_read, _DIGEST)
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, index_path = fresh_path(spark, "warc"), fresh_path(spark, "warc-index")
-    index(write(with_originals(table(spark, sf_dir, "pages")), archive), index_path)
-    return read_back(spark, archive, index_path)
+    pages = table(spark, sf_dir, "pages")
+    index(write(with_originals(pages), archive), index_path)
+    return read_back(archive, locate(pages.select(F.col("url").cast("string")), index_path))
 
 
 _HEX = "lpad(bin(('0x' || substr(h, {k}, 5))::BIGINT), 20, '0')"
 ORACLE_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 b AS (SELECT *, concat({bits}) AS bits FROM p),
-d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first,
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, coalesce(url, '')) AS n,
   list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0b' || substr(bits, (i * 5 + 1)::INT, 5))::INT + 1)::INT]), 'string_agg', '') AS payload_digest
   FROM b)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n = 1 THEN NULL ELSE first END AS refers_to
 FROM d
 """.format(bits=", ".join(_HEX.format(k=k) for k in range(1, 41, 5)))
