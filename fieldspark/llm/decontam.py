@@ -1,15 +1,20 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 An item of m characters occurs in a document with at most k edits only if some diagonal band holds at least
-m - q + 1 - k q of its character q-grams. Documents and items are normalised (lower case, white space runs to one
+m - q + 1 - k q of its character q-grams. k is 10 % of m, rounded down, at every length; q is the largest up to 8 that
+leaves the bound at three q-grams, so short items are searched with shorter q-grams. Documents and items are normalised (lower case, white space runs to one
 space). One pass over the texts hashes every q-gram of a document, looks it up among the items' q-grams, counts hits
-by item in overlapping diagonal bands of width 2 w with step w > k, and keeps bands that reach the item's bound. What
-stays is verified by banded semi-global alignment over exactly that region; the edit budget decides.
+by item in overlapping diagonal bands of width 2 w with step w = k + 1 of that item, and keeps bands that reach the
+item's bound. What stays is verified by banded semi-global alignment over exactly that region; the edit budget decides.
+Alignment keeps two rows; the start of a match comes from a second pass that carries starts along. Items that
+repeat a q-gram more than ``REPEATS`` times are counted one by one, their hits once for each stretch of w places of the
+text, in every band that the stretch touches: more bands stay than need to, none is lost, and a repetitive text costs
+1 / w of its pairs of places. Hits of all other items are counted in rounds of bounded size, each over some items.
 
 Items are a stated query set: they go to tasks in blocks of at most ``block_chars`` characters, one pass for each
 block, so what is sent has a fixed bound however many items there are. No shuffle, and no state between documents.
 
-Defined results: null or empty texts and items never match. Items shorter than q + 3 characters after normalising are
+Defined results: null or empty texts and items never match. Items shorter than q + 3 characters (11) after normalising are
 matched exactly as whole strings. A document matching an item several times gives one row, the best region (fewest
 edits, then first). Repeated rows each give their rows; a null id stays null. Extra columns are not read. ``start`` and
 ``end`` are code points of the original text.
@@ -25,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import batches, boxed, table
 
 _U = np.uint64
 _BASE = _U(0x100000001B3)
 _SPREAD = _U(0x9E3779B97F4A7C15)
 Q, ERROR_RATE = 8, 0.10
+#: Hits that are expanded at once, and that are counted in one round.
+PART, ROUND = 1 << 21, 1 << 24
 
 
 def normalise(text: str | None) -> str:
@@ -68,39 +75,60 @@ def qgram_hashes(c: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def gram_length(m: int, q: int, rate: float) -> int:
+    """The largest length up to ``q`` with which the lemma asks an item of m characters for three q-grams at least."""
+    return max(1, min(q, (m - 2) // (int(rate * m) + 1)))
+
+
 def budget(m: int, q: int, rate: float) -> tuple[int, int]:
-    """(k, least): edits allowed for an item of m characters, lowered until the lemma asks for three q-grams at least."""
-    k = max(0, min(int(rate * m), (m - q + 1 - 3) // q))
+    """(k, least): edits allowed for an item of m characters, and the q-grams that must then be left of it."""
+    k = int(rate * m)
     return k, max(1, m - q + 1 - k * q)
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] of them, then the same for the others."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 @dataclass(frozen=True)
 class Items:
-    """A block of items with the index of their q-grams."""
+    """Items of a block that are searched with the same q, and the index of their q-grams."""
 
     ids: list
     texts: list[np.ndarray]
     k: np.ndarray
     least: np.ndarray
-    width: int
+    width: np.ndarray
     q: int
     map: np.ndarray
     keys: np.ndarray
     starts: np.ndarray
     item: np.ndarray
     pos: np.ndarray
+    repetitive: dict[int, tuple[np.ndarray, np.ndarray]]
+    reach: int
 
     MAP_BITS = 22
+    REPEATS = 8
+
+    @classmethod
+    def classes(cls, rows: list[tuple], q: int, rate: float) -> list[Items]:
+        """The items that are not matched exactly, by their q."""
+        by: dict[int, list[tuple]] = {}
+        for item_id, text in rows:
+            m = len(normalise(text))
+            if m >= q + 3:
+                by.setdefault(gram_length(m, q, rate), []).append((item_id, text))
+        return [cls.build(by[g], g, rate) for g in sorted(by)]
 
     @classmethod
     def build(cls, rows: list[tuple], q: int, rate: float) -> Items:
         ids, texts, k, least, hs, items, pos = [], [], [], [], [], [], []
         for item_id, text in rows:
             c = codes(normalise(text))
-            if not len(c):
-                continue
-            h = qgram_hashes(c, min(q, len(c)) if len(c) < q + 3 else q)
-            if len(c) < q + 3:
+            h = qgram_hashes(c, q)
+            if not len(h):
                 continue
             a, b = budget(len(c), q, rate)
             hs.append(h)
@@ -116,7 +144,16 @@ class Items:
         bits = np.zeros(1 << cls.MAP_BITS, bool)
         bits[(keys >> _U(64 - cls.MAP_BITS)).astype(np.int64)] = True
         cat = lambda x: (np.concatenate(x) if x else np.empty(0, np.int64))[order]
-        return cls(ids, texts, np.array(k, np.int64), np.array(least, np.int64), max(k, default=0) + 1, q, bits, keys, np.append(starts, len(h)), cat(items), cat(pos))
+        item, pos = cat(items), cat(pos)
+        gram = np.repeat(np.arange(len(keys)), np.diff(np.append(starts, len(h))))
+        often, n = np.unique(gram * max(1, len(ids)) + item, return_counts=True)
+        often = np.unique(often[n > cls.REPEATS] % max(1, len(ids)))
+        repetitive = {int(x): (gram[item == x], pos[item == x]) for x in often}
+        plain = ~np.isin(item, often)
+        starts = np.concatenate([[0], np.cumsum(plain)])[np.append(starts, len(h))]
+        k = np.array(k, np.int64)
+        reach = max(map(len, texts), default=0) + int(max(k, default=0)) + 2
+        return cls(ids, texts, k, np.array(least, np.int64), k + 1, q, bits, keys, starts, item[plain], pos[plain], repetitive, reach)
 
     def regions(self, c: np.ndarray) -> set[tuple[int, int]]:
         """(item, first diagonal of band) of bands that reach their item's bound, over concatenated documents."""
@@ -129,36 +166,57 @@ class Items:
         at, i = at[hit], i[hit]
         found: set[tuple[int, int]] = set()
         n = self.starts[i + 1] - self.starts[i]
-        # Postings are expanded some millions at a time; bands are counted over all of them.
-        hits = []
-        cuts = np.searchsorted(np.cumsum(n), np.arange(2_000_000, int(n.sum()) + 2_000_000, 2_000_000))
-        for part in np.split(np.arange(len(at)), np.minimum(cuts, len(at))):
-            if not len(part):
-                continue
-            m = n[part]
-            where = np.repeat(self.starts[i[part]], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            item, pos = self.item[where], self.pos[where]
-            band = (np.repeat(at[part], m) - pos + (1 << 20)) // self.width
-            key = item << 40 | band
-            hits.append((np.concatenate([key, key - 1]), np.concatenate([pos, pos])))
+        total = int(n.sum())
+        rounds = 1 + total // ROUND
+        cuts = np.searchsorted(np.cumsum(n), np.arange(PART, total, PART))
+        for r in range(rounds if total else 0):
+            hits = []
+            for part in np.split(np.arange(len(at)), cuts):
+                where = _runs(self.starts[i[part]], n[part])
+                where_at = np.repeat(at[part], n[part])
+                if rounds > 1:
+                    mine = self.item[where] % rounds == r
+                    where, where_at = where[mine], where_at[mine]
+                item, pos = self.item[where], self.pos[where]
+                key = item << 40 | (where_at - pos + self.reach) // self.width[item]
+                hits += [(key, pos), (key - 1, pos)]
+            found |= self._counted(hits)
+        for item, (grams, places) in self.repetitive.items():
+            w = int(self.width[item])
+            some = np.isin(i, grams)
+            pair = np.unique(i[some] << 32 | at[some] // w)
+            gram, cell = pair >> 32, pair & ((1 << 32) - 1)
+            first = np.searchsorted(grams, gram)
+            n = np.searchsorted(grams, gram, "right") - first
+            pos = places[_runs(first, n)]
+            least = np.repeat(cell * w, n) - pos + self.reach
+            # A stretch of one step touches two steps of diagonals, so three bands.
+            low, high = item << 40 | least // w, item << 40 | (least + w - 1) // w
+            found |= self._counted([(low, pos), (low - 1, pos), (high, pos)])
+        return found
+
+    def _counted(self, hits: list[tuple[np.ndarray, np.ndarray]]) -> set[tuple[int, int]]:
+        """Bands, keyed by item and number, that hold enough distinct places of their item."""
         key, pos = (np.concatenate(x) for x in zip(*hits, strict=True))
         every, inv, total = np.unique(key, return_inverse=True, return_counts=True)
         some = (total >= self.least[every >> 40])[inv]
         # The lemma counts q-grams of the item, so a q-gram that the text repeats counts once.
-        pairs = np.unique(key[some], return_inverse=True)
-        if not len(pairs[0]):
-            return found
-        distinct = np.unique(pairs[1] * (1 << 32) + pos[some]) >> 32
-        total = np.bincount(distinct, minlength=len(pairs[0]))
-        for k in pairs[0][total >= self.least[pairs[0] >> 40]].tolist():
-            found.add((k >> 40, (k & ((1 << 40) - 1)) * self.width - (1 << 20)))
-        return found
+        keys, inv = np.unique(key[some], return_inverse=True)
+        if not len(keys):
+            return set()
+        total = np.bincount(np.unique(inv << 32 | pos[some]) >> 32, minlength=len(keys))
+        good = keys[total >= self.least[keys >> 40]].tolist()
+        return {(k >> 40, (k & ((1 << 40) - 1)) * int(self.width[k >> 40]) - self.reach) for k in good}
 
     def align(self, item: int, c: np.ndarray, diag: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the item's best alignment with ``c`` on the band's diagonals, or None over the budget."""
+        best = self._align(item, c, diag, False)
+        return best and self._align(item, c, diag, True)
+
+    def _align(self, item: int, c: np.ndarray, diag: int, starts: bool) -> tuple[int, int, int] | None:
         t, k = self.texts[item], int(self.k[item])
-        m, lo, wide = len(t), diag - k, 2 * self.width + 2 * k + 1
-        big = 1 << 20
+        m, lo, wide = len(t), diag - k, 2 * int(self.width[item]) + 2 * k + 1
+        big = 1 << 40
         cols = np.arange(wide)
         a, b = max(0, lo), min(len(c), lo + m + wide + 1)
         if a >= b:
@@ -170,33 +228,26 @@ class Items:
         d = np.zeros(wide, np.int64)
         if not whole:
             d[outside(0)] = big
-        rows = [d]
+        start = cols.copy()
         up = np.full(wide, big, np.int64)
         for r in range(1, m + 1):
             up[:-1] = d[1:]
-            d = np.minimum(d + (padded[r - 1 : r - 1 + wide] != t[r - 1]), up + 1)
+            e = np.minimum(d + (padded[r - 1 : r - 1 + wide] != t[r - 1]), up + 1)
+            if starts:
+                # Of equally good ways a match or change comes first, then a missing character, then an added one.
+                start = np.where(d + (padded[r - 1 : r - 1 + wide] != t[r - 1]) == e, start, np.append(start[1:], 0))
             if not whole:
-                d[outside(r)] = big
-            d -= cols
-            np.minimum.accumulate(d, out=d)
-            d += cols
+                e[outside(r)] = big
+            d = np.minimum.accumulate(e - cols) + cols
+            if starts:
+                start = start[np.maximum.accumulate(np.where(e == d, cols, 0))]
             if d.min() > k:  # no cell of the band can come back under the budget
                 return None
-            rows.append(d)
         best = int(d.min())
         if best > k:
             return None
-        j = end = int(np.flatnonzero(d == best)[0])
-        r = m
-        while r > 0:
-            v = rows[r][j]
-            if rows[r - 1][j] + (padded[r - 1 + j] != t[r - 1]) == v:
-                r -= 1
-            elif j + 1 < wide and rows[r - 1][j + 1] + 1 == v:
-                r, j = r - 1, j + 1
-            else:
-                j -= 1
-        return best, lo + j, lo + m + end
+        end = int(np.flatnonzero(d == best)[0])
+        return best, lo + int(start[end]), lo + m + end
 
 
 _OUT = "doc_id long, item_id long, start long, end long, edits int"
@@ -204,7 +255,7 @@ _OUT = "doc_id long, item_id long, start long, end long, edits int"
 
 def _search(items, limit: int = 1 << 21):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x: Items = items.value
+        classes: list[Items] = items.value
         gap = np.array([0x110001, 0x110002, 0x110003], np.uint32)
         for b in it:
             out: list[tuple] = []
@@ -216,19 +267,20 @@ def _search(items, limit: int = 1 << 21):
                     return
                 joined = np.concatenate([y for _, _, c in held for y in (c, gap)])
                 begins = np.cumsum([0, *[len(c) + len(gap) for _, _, c in held]])
-                best: dict[tuple[int, int], tuple] = {}
-                for item, diag in x.regions(joined):
-                    # A band may begin before its document; it belongs to those that its middle stretch overlaps.
-                    first = np.searchsorted(begins, max(0, diag), "right") - 1
-                    last = np.searchsorted(begins, diag + 2 * x.width, "right") - 1
-                    for d in range(max(0, first), min(last, len(held) - 1) + 1):
-                        got = x.align(item, held[d][2], diag - int(begins[d]))
-                        if got and ((d, item) not in best or got < best[d, item]):
-                            best[d, item] = got
-                for (d, item), (edits, s, e) in sorted(best.items()):
+                best: dict[tuple[int, int, int], tuple] = {}
+                for n, x in enumerate(classes):
+                    for item, diag in x.regions(joined):
+                        # A band may begin before its document; it belongs to those that its middle stretch overlaps.
+                        first = np.searchsorted(begins, max(0, diag), "right") - 1
+                        last = np.searchsorted(begins, diag + 2 * int(x.width[item]), "right") - 1
+                        for d in range(max(0, first), min(last, len(held) - 1) + 1):
+                            got = x.align(item, held[d][2], diag - int(begins[d]))
+                            if got and ((d, n, item) not in best or got < best[d, n, item]):
+                                best[d, n, item] = got
+                for (d, n, item), (edits, s, e) in sorted(best.items()):
                     doc_id, text, _ = held[d]
                     at = offsets(text)
-                    out.append((doc_id, x.ids[item], int(at[s]), int(at[e - 1]) + 1 if e > s else int(at[s]), edits))
+                    out.append((doc_id, classes[n].ids[item], int(at[s]), int(at[e - 1]) + 1 if e > s else int(at[s]), edits))
                 held.clear()
 
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -259,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     found = None
     for i in range(n_blocks):
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).collect()
-        long = Items.build([tuple(r) for r in rows], q, rate)
+        long = Items.classes([tuple(r) for r in rows], q, rate)
         part = docs.mapInArrow(_search(spark.sparkContext.broadcast(long)), _OUT)
         short = [(r["item_id"], t) for r in rows if 0 < len(t := normalise(r["text"])) < q + 3]
         if short:
@@ -295,8 +347,6 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; rows without doc_id are judged by their text's hash."""
-    columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    bad = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = bad.select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*columns)
+    keyed = boxed(docs).withColumn("key", F.xxhash64("row.doc_id", "row.text"))
+    bad = contaminated(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"))
+    return keyed.join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
