@@ -57,20 +57,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that never hold main text.
 BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset input label option audio video".split())
 #: Words in class, id or role that mark boilerplate.
-_WORDS = (
-    r"(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side-bar|aside|rail|widget|widgets|footer|foot|"
+_STRONG = (
+    r"ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
+    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side-bar|aside|widget|widgets|footer|"
     r"header|masthead|topbar|site-header|page-header|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|disqus|respond|replies|reply|discussion|"
-    r"pagination|pager|copyright|legal|disclaimer|skip|skip-link|toolbar|search|form|complementary|contentinfo)"
+    r"signup|login|share|sharing|related|recommended|recommendations|comment|comments|disqus|respond|replies|reply|"
+    r"pagination|pager|copyright|disclaimer|skip-link|toolbar|complementary|contentinfo"
 )
-_MARKS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I)
-#: Words that an id may hold beside those; an id with any other word names a subject.
-_BESIDE = r"(?:main|site|page|top|bottom|left|right|primary|secondary|global|inner|outer|container|wrapper|wrap|bar|box|area|block|list|links|link|icons|buttons|posts|articles|section|\d+)"
+#: Words that also name subjects: they mark boilerplate only beside words of the layout.
+_WEAK = r"legal|social|search|discussion|form|foot|skip|rail"
+_WORDS = rf"(?:{_STRONG}|{_WEAK})"
+_MARKS = re.compile(rf"(?:^|[\s_-])(?:{_STRONG})(?:$|[\s_-])", re.I)
+#: Words that an id, or a class with a weak word, may hold beside those; with any other word it names a subject.
+_BESIDE = r"(?:main|site|page|top|bottom|left|right|primary|secondary|global|inner|outer|container|wrapper|wrap|bar|box|area|block|list|links|link|icons|buttons|media|info|posts|articles|section|\d+)"
 _ID_MARKS = re.compile(rf"(?:{_BESIDE}[_-])*{_WORDS}(?:[_-](?:{_WORDS}|{_BESIDE}))*", re.I)
 #: Sections and headings of marked content are content, but for readers' replies.
 _PARTS = frozenset("section h1 h2 h3 h4 h5 h6".split())
 _REPLIES = re.compile(r"(?:comments?|disqus|respond)", re.I)
+_FORM_OR_CONTENT = re.compile(r"(?P<form></form\s*>)|<(?:article|main)(?![\w:-])", re.I)
 #: Elements that hold several blocks.
 _CONTAINERS = frozenset("div section td th center".split())
 _SPACE = re.compile(r"\s+")
@@ -88,7 +92,9 @@ _HEADING = re.compile(r"header|masthead|banner", re.I)
 def _marked(value: str, inside: bool) -> bool:
     """Whether a class, id or role marks boilerplate; the heading of marked content is content."""
     for token in _CAMEL.sub("-", value).split():
-        if not token.lower().startswith(_SWITCH) and (m := _MARKS.search(token)) and not (inside and _HEADING.search(m[0])):
+        if token.lower().startswith(_SWITCH):
+            continue
+        if (m := _MARKS.search(token) or _ID_MARKS.fullmatch(token)) and not (inside and _HEADING.search(m[0])):
             return True
     return False
 
@@ -116,7 +122,13 @@ class Ends:
     """Where elements skipped with their content end."""
 
     def __init__(self, page: str):
-        self.page, self.nested, self.none = page, {}, set()
+        self.page, self.nested, self.none, self.forms = page, {}, set(), True
+
+    def form_of_page(self, stop: int) -> bool:
+        """Whether the form opened before ``stop`` is one that a server wraps around the page: content begins in it."""
+        found = self.forms and _FORM_OR_CONTENT.search(self.page, stop)
+        self.forms = bool(found)
+        return bool(found) and not found["form"]
 
     def after(self, name: str, start: int, stop: int) -> int:
         """The end of the element whose start tag is at [start, stop); ``stop`` where only the tag is skipped."""
@@ -235,6 +247,8 @@ def lines_of(page: str) -> tuple[list[Line], bool, list[int]]:
         attrs = m["attrs"]
         content = name in CONTENT
         boilerplate = name in BOILERPLATE or (name == "header" and not inside)
+        if name == "form" and not inside and ends.form_of_page(m.end()):
+            boilerplate = False
         if attrs and not boilerplate:
             values = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs)]
             named = dict(reversed(values))
