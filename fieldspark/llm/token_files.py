@@ -8,7 +8,8 @@ shard at a time. A table of shards gives each one's place in the order and its s
 
 Keyed access is one directory step (key range of the shard), one hash, one fingerprint, one slice.
 
-Defined results: null or empty text: the end id alone. Null doc_ids come last, under the key of -2^63. Rows that repeat
+Defined results: null or empty text: the end id alone. Null doc_ids come last and
+have no key: a shard's documents beyond its keys are theirs. Rows that repeat
 a doc_id follow each other, ordered by the text's hash; the index leads to the first. Empty table: empty result. Extra
 columns are not read.
 """
@@ -28,12 +29,12 @@ from .encoder import encoder, tokenizer_path
 from .mphf import PerfectHash
 
 END_ID = 2
-NULL_KEY = -(1 << 63)
 _SHARD = "part int, seq int, low long, high long, n_docs long, n_tokens long, width int, payload binary, keys binary, ends binary, mph binary, slots binary"
 
 
-def _shard(part: int, seq: int, keys: list[int], ids: list[bytes]) -> tuple:
-    k = np.array(keys, "<i8")
+def _shard(part: int, seq: int, keys: list[int | None], ids: list[bytes]) -> tuple:
+    # Nulls are last, so the others are a prefix.
+    k = np.array([x for x in keys if x is not None], "<i8")
     ends = np.cumsum([len(x) // 4 for x in ids], dtype="<i8")
     payload = np.frombuffer(b"".join(ids), "<u4")
     width = 2 if not len(payload) or payload.max() < 1 << 16 else 4
@@ -41,7 +42,8 @@ def _shard(part: int, seq: int, keys: list[int], ids: list[bytes]) -> tuple:
     mph = PerfectHash.build(distinct.view(np.uint64))
     slots = np.empty(len(distinct), "<u4")
     slots[mph.lookup(distinct.view(np.uint64))] = first
-    return (part, seq, int(k.min()), int(k.max()), len(k), len(payload), width, payload.astype(f"<u{width}").tobytes(), k.tobytes(), ends.tobytes(), mph.dump(), slots.tobytes())
+    low, high = (int(k.min()), int(k.max())) if len(k) else (None, None)
+    return (part, seq, low, high, len(keys), len(payload), width, payload.astype(f"<u{width}").tobytes(), k.tobytes(), ends.tobytes(), mph.dump(), slots.tobytes())
 
 
 def _write(path: str, end_id: int, shard_tokens: int):
@@ -50,7 +52,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         part = seq = held = 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         ids: list[bytes] = []
 
         def out() -> pa.RecordBatch:
@@ -65,7 +67,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
                 if keys and held + len(x) // 4 > shard_tokens:
                     yield out()
                     seq, held, keys, ids = seq + 1, 0, [], []
-                keys.append(NULL_KEY if key is None else key)
+                keys.append(key)
                 ids.append(x)
                 held += len(x) // 4
         if keys:
@@ -124,10 +126,12 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("the index does not lead to its keys")
             # A document's number: the first with its key, from the index, and its place among those that repeat the key.
             n = first + np.arange(len(first)) - np.searchsorted(first, first)
+            n_null = len(s.ends) - len(n)
+            n = np.concatenate([n, np.arange(len(n), len(s.ends))])
             sizes = np.diff(s.ends, prepend=0)[n]
             starts = r["start"] + s.ends[n] - sizes
             crc = [zlib.crc32(s.at(int(i)).tobytes()) for i in n]
-            ids = pa.array([None if k == NULL_KEY else k for k in s.keys.tolist()], pa.int64())
+            ids = pa.array(s.keys.tolist() + [None] * n_null, pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
