@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, stash, table
+from .common import batches, boxed, stash, table
 from .components import components
 from .shingles import shingle_set, signature
 
@@ -370,12 +370,14 @@ def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id stays (nulls last), of equal rows one.
 
-    Rows are told apart by a hash of doc_id and text, so repeated and null ids are judged row by row.
+    Rows are told apart by a hash of doc_id and text, so repeated and null ids are judged row by row. Of rows equal in
+    both, the one whose other columns are least as JSON stays, whatever the layout.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    found = similar_documents(keyed, id_col="_rid").select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("_c")).distinct()
-    named = found.join(keyed.select("_rid", "doc_id").distinct(), "_rid")
-    best = named.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_rid")).alias("x"))
-    kept = keyed.join(best.select(F.col("x._rid").alias("_rid")), "_rid", "left_semi").dropDuplicates(["_rid"])
-    return kept.select(*columns)
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c not in ("doc_id", "text")]))
+    keyed = boxed(docs).select("row", F.col("row.doc_id").alias("id"), F.col("row.text").alias("text"), F.xxhash64("row.doc_id", "row.text").alias("rid"))
+    found = similar_documents(keyed.select("rid", "text"), id_col="rid").select(F.col("doc_id").alias("rid"), F.col("component_id").alias("c")).distinct()
+    named = found.join(keyed.select("rid", "id").distinct(), "rid")
+    best = named.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "rid")).alias("x"))
+    kept = keyed.withColumn("rest", rest).join(best.select(F.col("x.rid").alias("rid")), "rid", "left_semi")
+    return kept.groupBy("rid").agg(F.min_by("row", "rest").alias("row")).select("row.*")
